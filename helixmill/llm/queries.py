@@ -34,6 +34,12 @@ FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN its ON d.doc_id = its.
 """
 
 
+def op9_bitmask_language_id(spark, sf_dir):
+    from helixmill.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
