@@ -40,6 +40,12 @@ def op9_bitmask_language_id(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_bottom_k_near_dedup(spark, sf_dir):
+    from helixmill.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
