@@ -46,6 +46,18 @@ def op10_bottom_k_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_harmonic_packing(spark, sf_dir):
+    from helixmill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op8_boosted_pii(spark, sf_dir):
+    from helixmill.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
