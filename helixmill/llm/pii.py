@@ -196,7 +196,7 @@ class Chooser:
             order = np.argsort(-q, kind="stable")
             good = np.cumsum(z[order]) >= PRECISION * np.arange(1, len(order) + 1)
             at = np.flatnonzero(good)
-            self.least[kind] = max(float(q[order][at[-1]]) if len(at) else 2.0, 0.9)
+            self.least[kind] = max(float(q[order][at[-1]]) if len(at) else 2.0, 0.7)
 
     def choose(self, t: str, base: list[Span]) -> list[Span]:
         """Spans added to the base spans."""

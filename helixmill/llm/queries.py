@@ -58,6 +58,12 @@ def op8_boosted_pii(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_brown_lm(spark, sf_dir):
+    from helixmill.llm.brown_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
