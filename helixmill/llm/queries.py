@@ -64,6 +64,29 @@ def op6_brown_lm(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"))
 
 
+def op3_sharded_warc(spark, sf_dir):
+    from helixmill.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+#: A hex digit's bits, then each 5 bits as a letter of the base-32 alphabet.
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b) AS n, lower(sha1(b)) AS hex FROM p),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(0, 40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * CAST(instr('0123456789abcdef', substr(hex, CAST(i + 1 AS INTEGER), 1)) - 1 AS INTEGER) + 1, 4)), '') AS bits FROM h),
+e AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+        + 16 * CAST(substr(bits, CAST(5 * i + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5 * i + 2 AS INTEGER), 1) AS INTEGER)
+        + 4 * CAST(substr(bits, CAST(5 * i + 3 AS INTEGER), 1) AS INTEGER) + 2 * CAST(substr(bits, CAST(5 * i + 4 AS INTEGER), 1) AS INTEGER)
+        + CAST(substr(bits, CAST(5 * i + 5 AS INTEGER), 1) AS INTEGER), 1)), '') AS digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM e)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
