@@ -87,6 +87,18 @@ FROM f
 """
 
 
+def op2_html_rendering(spark, sf_dir):
+    from helixmill.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op5_collision_counting_ann(spark, sf_dir):
+    from helixmill.llm.ann import search_every_50th
+
+    return search_every_50th(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
