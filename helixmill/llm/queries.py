@@ -99,6 +99,12 @@ def op5_collision_counting_ann(spark, sf_dir):
     return search_every_50th(table(spark, sf_dir, "embeddings"))
 
 
+def op4_minhash_license_scan(spark, sf_dir):
+    from helixmill.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
