@@ -7,17 +7,21 @@ form a class at once; the rest works on one document per class:
 1. Inverted lists. The ``LISTED`` smallest hash values of each set are listed by
    value. Sets with Jaccard similarity s miss each other in all lists with
    probability (1 - s) ** LISTED, 1e-7 at 0.8.
-2. Overlaps. In every list all members meet its first member; groups of near
-   copies become one component this way without pairs among them. Then members
-   of different components of the same list meet, compared on sketches inside
-   the task, which emits only pairs that pass.
-3. Lists in which too many members of different components remain (a passage
-   that many documents share) are listed anew by tuples of retained values:
-   ``LEVELS`` gives tuple size and number of tuples. A list that stays long at the
-   last level is compared block by block, so nothing is dropped.
-4. The union of both sketches estimates the similarity; pairs under ``ESTIMATE``
-   are let go (4.9 standard deviations under the threshold).
-5. Exact Jaccard on the full shingle sets, from the texts, confirms each link.
+2. Overlaps. Members of a list of up to ``LONG`` meet inside one task, which
+   compares sketches and emits only pairs that pass, and of surely linked ones no
+   more than it takes to join their components.
+3. Members of a longer list first meet its hub, the member whose lists are longest:
+   a group of near copies becomes one component this way without pairs among them.
+   Where few of its pairs are then still between components, the members outside
+   the largest component meet all others, block by block.
+4. Where many are (a passage that many documents share), the members are listed
+   anew by tuples of retained values; ``LEVELS`` gives tuple size and number of
+   tuples. A list that stays open at the last level is compared block by block, so
+   nothing is dropped.
+5. The union of both sketches estimates the similarity, without error for sets of
+   up to ``KEEP`` shingles; pairs more than ``SIGMAS`` standard deviations under the
+   threshold are let go.
+6. Exact Jaccard on the full shingle sets, from the texts, confirms each link.
 
 Components are found by alternating large-star and small-star steps on tables in
 the shared folder.
@@ -43,12 +47,13 @@ from helixmill.llm import grams as G
 from helixmill.llm.common import Scratch, slices, utf8
 
 WIDTH, SHARE = 4, 80  # words of a shingle; percent
-LISTED, KEEP = 10, 96  # values in lists; values of a sketch
-BINS = 32
+LISTED, KEEP = 10, 256  # values in lists; values of a sketch
+BINS = 64
 LEVELS = [(6, 48), (14, 192)]
-ESTIMATE = 0.6
-CROSS = 300_000  # pairs of members of different components that a list may have, counted twice
-BLOCK = 256  # members compared with each other at a time
+SIGMAS = 4.2
+LONG = 1500  # members of a list that meet in one task
+CROSS = 4_000_000  # pairs between components that a longer list may have, counted twice
+BLOCK = 512  # members of a longer list in one task
 CHUNK = 400_000  # shingles of the texts verified together
 SLOTS = 1 << 24  # bits of the table of documents that a verification needs
 _PAD = np.uint32(0xFFFFFFFF)
@@ -102,14 +107,40 @@ def bins(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity by the union sketch of each row of a and b."""
-    bound = np.minimum(np.where(a[:, -1] == _PAD, _PAD - np.uint32(1), a[:, -1]), np.where(b[:, -1] == _PAD, _PAD - np.uint32(1), b[:, -1]))
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity by the union sketch, its standard deviation) of each row of a and b."""
+    last = _PAD - np.uint32(1)
+    whole = (a[:, -1] == _PAD) & (b[:, -1] == _PAD)
+    bound = np.minimum(np.where(a[:, -1] == _PAD, last, a[:, -1]), np.where(b[:, -1] == _PAD, last, b[:, -1]))
     s = np.sort(np.concatenate([a, b], axis=1), axis=1)
     within = s <= bound[:, None]
-    twice = (s[:, 1:] == s[:, :-1]) & within[:, 1:]
-    both = twice.sum(axis=1)
-    return both / np.maximum(within.sum(axis=1) - both, 1)
+    both = ((s[:, 1:] == s[:, :-1]) & within[:, 1:]).sum(axis=1)
+    k = np.maximum(within.sum(axis=1) - both, 1)
+    return both / k, np.where(whole, 0.0, 0.4 / np.sqrt(k))
+
+
+class Row:
+    """Estimates of one sketch against many, by a table of its values' low bits."""
+
+    def __init__(self, m: np.ndarray, n: np.ndarray):
+        self.m, self.n, self.table = m, n, np.zeros(1 << 20, bool)
+        self.low = (m & np.uint32((1 << 20) - 1)).astype(np.int32)
+        self.size = np.minimum(n, KEEP)
+        self.bound = np.where(n >= KEEP, m[:, -1], _PAD - np.uint32(1))
+
+    def estimate(self, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = self.low[i, : self.size[i]]
+        self.table[own] = True
+        real = self.m[j] != _PAD
+        both = (self.table[self.low[j]] & real).sum(axis=1)
+        self.table[own] = False
+        bound = np.minimum(self.bound[i], self.bound[j])
+        mine = np.searchsorted(self.m[i, : self.size[i]], bound, "right")
+        k = np.maximum(mine + (self.m[j] <= bound[:, None]).sum(axis=1) - both, 1)
+        share = np.minimum(both / k, 1.0)
+        union = (self.n[i] + self.n[j]) / (1 + share)
+        whole = (self.n[i] <= KEEP) & (self.n[j] <= KEEP)
+        return share, np.where(whole, 0.0, 0.4 * np.sqrt(np.maximum(1 - k / union, 0.05) / k))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str = "g") -> Iterator[pa.RecordBatch]:
@@ -136,26 +167,46 @@ def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(share: int):
     """Pairs of a group's members, of different components, whose sketches agree.
     side 0 meets all; sides 1 and 2 meet each other and side 0."""
-    for b in _groups(batches):
-        ids, comp, n, side = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rep", "comp", "n", "side"))
-        m = _matrix(b.column(b.schema.get_field_index("kept")).to_pylist())
-        sig = bins(m)
-        a_out, b_out = [], []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (100 * lo >= SHARE * hi) & ((side[j] != side[i]) | (side[i] == 0))]
-            if len(j):
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= BINS * 7 // 16]
-            if len(j):
-                j = j[estimate(np.repeat(m[i : i + 1], len(j), 0), m[j]) >= ESTIMATE]
+    least = share / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _groups(batches):
+            ids, comp, n, side = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("rep", "comp", "n", "side"))
+            if len(ids) < 2 or (comp == comp[0]).all():
+                continue
+            m = _matrix(b.column(b.schema.get_field_index("kept")).to_pylist())
+            sig, row = bins(m), Row(m, n)
+            _, label = np.unique(comp, return_inverse=True)  # components as joined so far in this task
+            a_out, b_out = [], []
+
+            def emit(i, j):
                 a_out.append(np.minimum(ids[i], ids[j]))
                 b_out.append(np.maximum(ids[i], ids[j]))
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+
+            for i in range(len(ids) - 1):
+                j = np.arange(i + 1, len(ids))
+                lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                j = j[(label[j] != label[i]) & (100 * lo >= share * hi) & ((side[j] != side[i]) | (side[i] == 0))]
+                if len(j):
+                    j = j[(sig[j] == sig[i]).sum(axis=1) >= BINS * 19 // 32]
+                if not len(j):
+                    continue
+                s, dev = row.estimate(i, j)
+                sure = s >= least + SIGMAS * dev - 1e-9
+                if sure.any():
+                    joined, first = np.unique(label[j[sure]], return_index=True)
+                    emit(i, j[sure][first])
+                    label[np.isin(label, joined)] = label[i]
+                may = ~sure & (s >= least - SIGMAS * dev - 1e-9) & (label[j] != label[i])
+                if may.any():
+                    emit(i, j[may])
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+
+    return run
 
 
 def _tuples(r: int, b: int, level: int):
@@ -179,12 +230,16 @@ def _tuples(r: int, b: int, level: int):
     return run
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for lo in range(0, big.num_rows, 2000):
-            x = big.slice(lo, 2000)
-            ok = estimate(_matrix(x.column(2).to_pylist()), _matrix(x.column(3).to_pylist())) >= ESTIMATE
-            yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
+def _estimated(share: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 1000):
+                x = big.slice(lo, 1000)
+                s, dev = estimate(_matrix(x.column(2).to_pylist()), _matrix(x.column(3).to_pylist()))
+                ok = pa.array(s >= share / 100 - SIGMAS * dev - 1e-9)
+                yield pa.RecordBatch.from_arrays([x.column(i).filter(ok) for i in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, sizes: DataFrame, width: int, share: int) -> DataFrame:
@@ -251,11 +306,10 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).where("u <> v").distinct()
         small = scratch.save(small, "small")
-        scratch.drop(edges, large)
+        scratch.drop(edges)
         edges, now = small, state(small)
         if now == before:
             break
@@ -270,13 +324,42 @@ def _labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
 
 
+def _stats(lists: DataFrame) -> DataFrame:
+    """Lists with more than one component: pairs between components, largest component."""
+    each = lists.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    stats = each.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("nc"))
+    return stats.where("nc > 1").select("key", "size", (F.col("size") * F.col("size") - F.col("sq")).alias("cross"), F.col("top.c").alias("top_n"), F.col("top.comp").alias("top"))
+
+
+def _dealt_near(lists: DataFrame) -> DataFrame:
+    """Members outside the largest component go to each of its blocks."""
+    parts = F.ceil(F.col("top_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    part = F.when(F.col("comp") == F.col("top"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
+    rows = lists.select("key", "rep", "n", "comp", F.explode(part).alias("i"))
+    return rows.select(F.xxhash64("key", "i").alias("g"), "rep", "n", "comp", F.lit(0).alias("side"))
+
+
+def _dealt_far(lists: DataFrame) -> DataFrame:
+    """Each block of members meets each other block."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), F.when(x == own, 0).when(x > own, 1).otherwise(2).alias("side")))
+    rows = lists.select("key", "rep", "n", "comp", F.explode(pair).alias("p"))
+    return rows.select(F.xxhash64("key", "p.i", "p.j").alias("g"), "rep", "n", "comp", "p.side")
+
+
 def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame | None:
     """(rep, comp) of all linked class representatives ``reps`` (rep, n, low, kept)."""
     sizes, kept = reps.select("rep", "n"), reps.select("rep", "kept")
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * share)
-    members = reps.select("rep", "n", F.explode("low").alias("key"))
+    n_tasks = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     links, comp = None, None
 
+    def met(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(kept, "rep").select("g", "rep", "n", "comp", "side", "kept")
+        return rows.repartition(n_tasks, "g").sortWithinPartitions("g").mapInArrow(_meet(share), "a long, b long")
+
     def add(pairs: DataFrame):
         nonlocal links, comp
         pairs = scratch.save(pairs.distinct(), "pairs")
@@ -285,49 +368,46 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         found = verify(scratch, pairs, docs, sizes, width, share)
         scratch.drop(pairs)
         links = found if links is None else links.union(found)
-        old, comp = comp, scratch.save(components(scratch, links), "components")
+        comp = scratch.save(components(scratch, links), "components")
         links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).where("a <> b")
 
+    members = reps.select("rep", "n", F.explode("low").alias("key"))
+    carried = None
     for level in range(len(LEVELS) + 1):
-        hub = members.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("hub")).where("m > 1")
-        members = scratch.save(members.join(hub, "key").select("key", "rep", "n", "m", "hub"), "lists")
-        star = _labelled(members.where((F.col("hub.rep") != F.col("rep")) & alike(F.col("hub.n"), F.col("n"))).select("hub", "rep"), comp)
+        counts = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "m"), "lists")
+        short, long = _labelled(lists.where(F.col("m") <= LONG), comp), lists.where(F.col("m") > LONG)
         if comp is not None:
-            star = star.join(comp.select(F.col("rep").alias("h"), F.col("comp").alias("hc")), star["hub.rep"] == F.col("h"), "left").where(F.coalesce("hc", "hub.rep") != F.col("comp"))
-        star = star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        star = star.join(kept.select(F.col("rep").alias("a"), F.col("kept").alias("ka")), "a").join(kept.select(F.col("rep").alias("b"), F.col("kept").alias("kb")), "b")
-        add(star.select("a", "b", "ka", "kb").mapInArrow(_estimated, "a long, b long"))
-
-        lists = _labelled(members.select("key", "rep", "n"), comp)
-        each = lists.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        stats = each.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("nc"))
-        stats = stats.where("nc > 1").select("key", "m", (F.col("m") * F.col("m") - F.col("sq")).alias("cross"), F.col("top.c").alias("top_n"), F.col("top.comp").alias("top"))
-        lists = scratch.save(lists.join(stats, "key"), "open")
-        scratch.drop(members)
-        last = level == len(LEVELS)
-        near = lists.where(F.col("cross") <= CROSS)
-        parts = F.ceil(F.col("top_n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-        part = F.when(F.col("comp") == F.col("top"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
-        dealt = near.select("key", "rep", "n", "comp", F.lit(0).alias("side"), F.explode(part).alias("i"), F.lit(0).alias("j"))
-        if last:
-            parts = F.ceil(F.col("m") / BLOCK).cast("int")
-            own = F.pmod(F.xxhash64("rep"), parts).cast("int")
-            pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), F.when(x == own, 0).when(x > own, 1).otherwise(2).alias("side")))
-            far = lists.where(F.col("cross") > CROSS).select("key", "rep", "n", "comp", F.explode(pair).alias("p"))
-            dealt = dealt.union(far.select("key", "rep", "n", "comp", "p.side", "p.i", "p.j"))
-        dealt = dealt.select(F.xxhash64("key", "i", "j").alias("g"), "rep", "n", "comp", "side").join(kept, "rep")
-        n = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
-        add(dealt.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meet, "a long, b long"))
-        if last:
+            short = short.join(_stats(short).select("key"), "key")
+        pairs = met(short.select(F.xxhash64("key").alias("g"), "rep", "n", "comp", F.lit(0).alias("side")))
+        if carried is not None:
+            pairs = pairs.union(met(carried))
+        some_long = not long.isEmpty()
+        if some_long:
+            score = long.groupBy("rep").agg(F.sum("m").alias("score"))
+            scored = _labelled(long.join(score, "rep"), comp)
+            hubs = scored.groupBy("key").agg(F.max(F.struct("score", "rep", "n", "comp")).alias("hub"))
+            star = scored.join(hubs, "key").where((F.col("hub.comp") != F.col("comp")) & alike(F.col("hub.n"), F.col("n")))
+            star = star.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b")).distinct()
+            star = star.join(kept.select(F.col("rep").alias("a"), F.col("kept").alias("ka")), "a").join(kept.select(F.col("rep").alias("b"), F.col("kept").alias("kb")), "b")
+            pairs = pairs.union(star.select("a", "b", "ka", "kb").mapInArrow(_estimated(share), "a long, b long"))
+        add(pairs)
+        carried = None
+        if not some_long:
             break
-        dense = lists.where(F.col("cross") > CROSS).select("rep").distinct()
-        r, b = LEVELS[level]
-        dense = scratch.save(dense.join(reps, "rep").select("rep", "n", "kept"), "dense")
+        long = _labelled(long.select("key", "rep", "n"), comp)
+        open_lists = scratch.save(long.join(_stats(long), "key"), "open")
         scratch.drop(lists)
+        near, far = open_lists.where(F.col("cross") <= CROSS), open_lists.where(F.col("cross") > CROSS)
+        carried = _dealt_near(near)
+        if level == len(LEVELS):
+            add(met(carried.union(_dealt_far(far))))
+            break
+        dense = scratch.save(far.select("rep").distinct().join(reps, "rep").select("rep", "n", "kept"), "dense")
         if dense.isEmpty():
+            add(met(carried))
             break
-        members = dense.mapInArrow(_tuples(r, b, level), "rep long, n long, key long").distinct()
+        members = dense.mapInArrow(_tuples(*LEVELS[level], level), "rep long, n long, key long").distinct()
     return comp
 
 
