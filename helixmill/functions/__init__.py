@@ -1 +1 @@
-
+"""Column functions on base strings."""

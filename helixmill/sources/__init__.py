@@ -1 +1 @@
-
+"""Readers and writers: FASTQ, reads derived from text, sequence files."""
