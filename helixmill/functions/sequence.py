@@ -82,8 +82,10 @@ def distance(a: Column | str, b: Column | str, length: int) -> Column:
 
 def mismatches(ref: Column, read: Column, length: int) -> Column:
     """array<struct<off, ref_base, read_base>> of the differing positions, ascending."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.struct(i.alias("off"), F.substring(ref, i + 1, F.lit(1)).alias("ref_base"), F.substring(read, i + 1, F.lit(1)).alias("read_base")))
-    return F.filter(at, lambda m: m["ref_base"] != m["read_base"])
+    # both strings are bound once, as a one-element array, not once a position
+    at = lambda x, i: F.struct(i.alias("off"), F.substring(x["a"], i + 1, F.lit(1)).alias("ref_base"), F.substring(x["b"], i + 1, F.lit(1)).alias("read_base"))
+    found = F.transform(F.array(F.struct(ref.alias("a"), read.alias("b"))), lambda x: F.filter(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: at(x, i)), lambda m: m["ref_base"] != m["read_base"]))
+    return found[0]
 
 
 def apply_mismatches(ref: Column, found: Column) -> Column:

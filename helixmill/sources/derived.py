@@ -34,10 +34,10 @@ def alignments(spark: SparkSession, sf_dir: str, length: int = LENGTH, step: int
     r = references(spark, sf_dir).where(F.length("dna") >= length)
     r = r.select("ref_id", "dna", F.explode(F.sequence(F.lit(0), F.length("dna") - length, F.lit(step))).alias("pos"))
     r = r.select((F.col("ref_id") * SPREAD + F.floor(F.col("pos") / step)).cast("long").alias("read_id"), "ref_id", F.col("pos").cast("long").alias("pos"), F.substring("dna", F.col("pos") + 1, F.lit(length)).alias("window"))
-    seq = F.col("window")
-    for k in range(1, 7):  # the k-th change happens if read_id mod 7 is at least k
-        at = F.pmod(F.col("read_id") * (5 + 2 * k) + 17 * k, F.lit(length)).cast("int")
-        seq = F.when(F.pmod("read_id", F.lit(7)) >= k, F.overlay(seq, F.translate(F.substring(F.col("window"), at + 1, F.lit(1)), "ACGTN", "CGTAN"), at + 1)).otherwise(seq)
+    at = lambda k: F.pmod(F.col("read_id") * (5 + 2 * k) + 17 * k, F.lit(length)).cast("int")
+    put = lambda s, k: F.overlay(s, F.translate(F.substring(F.col("window"), at(k) + 1, F.lit(1)), "ACGTN", "CGTAN"), at(k) + 1)
+    changes = F.slice(F.array(*[F.lit(k) for k in range(1, 7)]), F.lit(1), F.pmod("read_id", F.lit(7)).cast("int"))
+    seq = F.aggregate(changes, F.col("window"), put)
     strand = F.when(F.pmod("read_id", F.lit(3)) == 0, 1).otherwise(0)
     r = r.withColumn("changed", seq).withColumn("strand", strand)
     return r.select("read_id", "ref_id", "pos", "strand", "window", F.when(F.col("strand") == 1, reverse_complement("changed")).otherwise(F.col("changed")).alias("seq"))
