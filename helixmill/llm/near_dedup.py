@@ -225,7 +225,8 @@ def _tuples(r: int, b: int, level: int):
                 keys = G.mix(keys + np.arange(b, dtype=G.U) * G.U(0x9E3779B97F4A7C15))
                 some = (v[:, chosen] != _PAD).any(axis=2).ravel()
                 at = np.repeat(np.arange(len(v)), b)[some]
-                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(at)), x.column(1).take(pa.array(at)), pa.array(keys.ravel()[some].view(np.int64))], ["rep", "n", "key"])
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([x.column(0).take(at), x.column(1).take(at), x.column(3).take(at), pa.array(keys.ravel()[some].view(np.int64))], ["rep", "n", "comp", "key"])
 
     return run
 
@@ -371,12 +372,12 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         comp = scratch.save(components(scratch, links), "components")
         links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).where("a <> b")
 
-    members = reps.select("rep", "n", F.explode("low").alias("key"))
+    members = reps.select("rep", "n", F.col("rep").alias("comp"), F.explode("low").alias("key"))
     carried = None
     for level in range(len(LEVELS) + 1):
         counts = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "m"), "lists")
-        short, long = _labelled(lists.where(F.col("m") <= LONG), comp), lists.where(F.col("m") > LONG)
+        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m"), "lists")
+        short, long = lists.where(F.col("m") <= LONG), lists.where(F.col("m") > LONG)
         if comp is not None:
             short = short.join(_stats(short).select("key"), "key")
         pairs = met(short.select(F.xxhash64("key").alias("g"), "rep", "n", "comp", F.lit(0).alias("side")))
@@ -385,7 +386,7 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         some_long = not long.isEmpty()
         if some_long:
             score = long.groupBy("rep").agg(F.sum("m").alias("score"))
-            scored = _labelled(long.join(score, "rep"), comp)
+            scored = long.join(score, "rep")
             hubs = scored.groupBy("key").agg(F.max(F.struct("score", "rep", "n", "comp")).alias("hub"))
             star = scored.join(hubs, "key").where((F.col("hub.comp") != F.col("comp")) & alike(F.col("hub.n"), F.col("n")))
             star = star.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b")).distinct()
@@ -403,11 +404,11 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         if level == len(LEVELS):
             add(met(carried.union(_dealt_far(far))))
             break
-        dense = scratch.save(far.select("rep").distinct().join(reps, "rep").select("rep", "n", "kept"), "dense")
+        dense = scratch.save(far.select("rep", "comp").distinct().join(reps, "rep").select("rep", "n", "kept", "comp"), "dense")
         if dense.isEmpty():
             add(met(carried))
             break
-        members = dense.mapInArrow(_tuples(*LEVELS[level], level), "rep long, n long, key long").distinct()
+        members = dense.mapInArrow(_tuples(*LEVELS[level], level), "rep long, n long, comp long, key long").distinct()
     return comp
 
 
