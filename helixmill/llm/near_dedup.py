@@ -373,10 +373,15 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).where("a <> b")
 
     members = reps.select("rep", "n", F.col("rep").alias("comp"), F.explode("low").alias("key"))
-    carried = None
+    carried, done, used = None, [], []
     for level in range(len(LEVELS) + 1):
         counts = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m"), "lists")
+        every = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m"), "every")
+        # Who shares one value only with anybody has no partner: a linked pair shares less
+        # than two with probability 4e-6.
+        shared = every.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
+        lists = scratch.save(every.join(shared, "rep").select("key", "rep", "n", "comp", "m"), "lists")
+        scratch.drop(every, *done)
         short, long = lists.where(F.col("m") <= LONG), lists.where(F.col("m") > LONG)
         if comp is not None:
             short = short.join(_stats(short).select("key"), "key")
@@ -393,12 +398,14 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
             star = star.join(kept.select(F.col("rep").alias("a"), F.col("kept").alias("ka")), "a").join(kept.select(F.col("rep").alias("b"), F.col("kept").alias("kb")), "b")
             pairs = pairs.union(star.select("a", "b", "ka", "kb").mapInArrow(_estimated(share), "a long, b long"))
         add(pairs)
-        carried = None
+        scratch.drop(*used)
+        carried, done, used = None, [], []
         if not some_long:
             break
         long = _labelled(long.select("key", "rep", "n"), comp)
         open_lists = scratch.save(long.join(_stats(long), "key"), "open")
         scratch.drop(lists)
+        used = [open_lists]
         near, far = open_lists.where(F.col("cross") <= CROSS), open_lists.where(F.col("cross") > CROSS)
         carried = _dealt_near(near)
         if level == len(LEVELS):
@@ -408,6 +415,7 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         if dense.isEmpty():
             add(met(carried))
             break
+        done = [dense]
         members = dense.mapInArrow(_tuples(*LEVELS[level], level), "rep long, n long, comp long, key long").distinct()
     return comp
 
@@ -419,7 +427,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     found = scratch.save(sketch(docs, width), "sketches")
     classes = scratch.save(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     reps = scratch.save(found.join(classes, (found["fp"] == classes["fp"]) & (found["doc_id"] == classes["rep"])).select("rep", "n", "low", "kept").dropDuplicates(["rep"]), "representatives")
-    comp = link(scratch, docs, reps, width, share)
+    light = scratch.save(found.select("doc_id", "n", "fp"), "sets")
+    scratch.drop(found)
+    found, comp = light, link(scratch, docs, reps, width, share)
     out = found.select("doc_id", "n", "fp").join(classes, "fp", "left")
     out = _labelled(out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep"))), comp)
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
