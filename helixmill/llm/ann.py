@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PROJECTIONS, GROW, SHARE = 96, 1.5, 0.5
-VERIFY, AT_LEAST = 0.12, 200
+VERIFY, AT_LEAST = 0.18, 200
 BLOCK, QUERIES = 8192, 4096
 
 
@@ -47,8 +47,12 @@ def _vectors(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which is exact and keeps squares finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -61,35 +65,41 @@ class Block:
         _, first, self.same = np.unique(x.view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
         self.members = np.argsort(self.same, kind="stable")  # rows of each distinct vector, ids ascending
         self.ends = np.concatenate(([0], np.cumsum(np.bincount(self.same, minlength=len(first)))))
-        self.x, self.unit = x[first], _unit(x[first])
-        p = self.unit @ lines
+        self.x = _scaled(x[first])
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+        p = _unit(self.x) @ lines
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
         self.sorted = np.sort(p, axis=0).T.copy()
 
-    def candidates(self, at: np.ndarray, k: int) -> np.ndarray:
-        """Distinct vectors whose collisions with a query pass the threshold."""
+    def candidates(self, at: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query (a row of projections) the distinct vectors whose collisions pass the threshold."""
         m, n = self.sorted.shape
         enough = min(n, max(AT_LEAST, int(VERIFY * n)) + k)
-        count = np.zeros(n, np.int32)
-        width = 0.25 / np.sqrt(self.x.shape[1])
-        lo = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
-        hi = lo.copy()
-        while True:
-            found = []
-            for i in range(m):
-                left, right = np.searchsorted(self.sorted[i], (at[i] - width, at[i] + width))
-                left, right = min(left, lo[i]), max(right, hi[i])
-                found += [self.order[i, left : lo[i]], self.order[i, hi[i] : right]]
-                lo[i], hi[i] = left, right
-            count += np.bincount(np.concatenate(found), minlength=n).astype(np.int32)
-            passed = np.flatnonzero(count > SHARE * m)
-            if len(passed) >= enough or (lo == 0).all() and (hi == n).all():
-                return passed
-            width *= GROW
-
-    def nearest(self, query: int, q: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, float]]:
-        c = self.candidates(at, k)
-        score = cosine(self.x[c], q)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(at)
+        count = np.zeros((len(at), n), np.int64)
+        width = 0.45 / np.sqrt(self.x.shape[1])
+        lo = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, at.T)])
+        hi, open_ = lo.copy(), np.arange(len(at))
+        while len(open_):
+            now = at[open_].T
+            left = np.minimum(lo[:, open_], np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, now - width)]))
+            right = np.maximum(hi[:, open_], np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, now + width)]))
+            left_out = []
+            for j, q in enumerate(open_.tolist()):
+                added = [o[x:y] for o, x, y in zip(self.order, left[:, j].tolist(), lo[:, q].tolist())]
+                added += [o[x:y] for o, x, y in zip(self.order, hi[:, q].tolist(), right[:, j].tolist())]
+                count[q] += np.bincount(np.concatenate(added), minlength=n)
+                passed = np.flatnonzero(count[q] > SHARE * m)
+                if len(passed) >= enough or right[:, j].min() == n and left[:, j].max() == 0:
+                    out[q] = passed
+                else:
+                    left_out.append(q)
+            lo[:, open_], hi[:, open_] = left, right
+            open_, width = np.array(left_out, np.int64), width * GROW
+        return out
+
+    def nearest(self, query: int, q: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, float]]:
+        score = cosine(self.x[c], self.norm[c], q)
         top = c if len(c) <= k + 1 else c[score >= np.partition(score, -(k + 1))[-(k + 1)]]
         score = dict(zip(c.tolist(), score.tolist()))
         out: list[tuple[int, float]] = []
@@ -98,9 +108,8 @@ class Block:
         return sorted(out, key=lambda r: (-r[1], r[0]))[:k]
 
 
-def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    dot = (x * q).sum(axis=1)
-    return dot / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+def cosine(x: np.ndarray, norm: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (x @ q) / (norm * np.sqrt((q * q).sum()))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 5) -> DataFrame:
@@ -120,6 +129,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 5) ->
     def part(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = sent.value
+            q = _scaled(q)
             at = _unit(q) @ lines
             held: list[pa.RecordBatch] = []
 
@@ -127,7 +137,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 5) ->
                 t = pa.Table.from_batches(held).combine_chunks()
                 held.clear()
                 block = Block(t.column(1).to_numpy(), _vectors(t.column(2).combine_chunks() if isinstance(t.column(2), pa.ChunkedArray) else t.column(2)), lines)
-                out = [(int(i), v, s) for i, x, a in zip(qid, q, at) for v, s in block.nearest(int(i), x, a, k)]
+                out = []
+                for lo in range(0, len(qid), 128):
+                    for i, x, c in zip(qid[lo:].tolist(), q[lo:], block.candidates(at[lo : lo + 128], k)):
+                        out += [(i, v, s) for v, s in block.nearest(i, x, c, k)]
                 return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t_) for j, t_ in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
             for b in batches:
