@@ -20,6 +20,7 @@ from helixmill.params import MAX_BLOCKS, ReadParams
 from helixmill.plans.storage import Store
 
 SEGMENT = 1 << 16
+READS = "component string, contig_id long, dist long, strand int, ms array<struct<off:int,ref_base:string,read_base:string>>, block_id int"
 MODES = ("default", "preserve", "paired")
 
 
@@ -85,7 +86,9 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
     after = Window.partitionBy("component", "contig_id").orderBy("seg")
     tail = F.concat(F.coalesce(F.lead("text").over(after), F.lit("")), F.coalesce(F.lead("text", 2).over(after), F.lit("")))
     text = text.select("component", "contig_id", "seg", "start", F.concat("text", F.substring(tail, 1, length)).alias("dna"))
-    rows = spark.read.parquet(f"{path}/reads").withColumn("seg", F.floor(F.col("dist") / SEGMENT))
+    ids = {"default": [], "preserve": ["read_id"], "paired": ["pair_id", "mate"]}[mode]
+    schema = ", ".join(f"{c} {'int' if c == 'mate' else 'long'}" for c in ids) + ", " * bool(ids) + READS
+    rows = spark.read.schema(schema).parquet(f"{path}/reads").withColumn("seg", F.floor(F.col("dist") / SEGMENT))
     # a mapped read may begin in the tail of its segment, before the next one's first piece
     near = rows.join(text, ["component", "contig_id", "seg"], "left").withColumn("here", F.coalesce(F.col("dist") >= F.col("start"), F.lit(False)))
     early = near.where("NOT here").drop("start", "dna", "here").withColumn("seg", F.col("seg") - 1).join(text, ["component", "contig_id", "seg"]).withColumn("here", F.lit(True))
@@ -93,7 +96,6 @@ def decode(spark: SparkSession, path: str) -> DataFrame:
     window = F.substring("dna", (F.col("dist") - F.col("start") + 1).cast("int"), F.lit(length))
     patched = apply_mismatches(window, F.col("ms"))
     seq = F.when(F.col("strand") == 1, reverse_complement(patched)).otherwise(patched)
-    ids = {"default": [], "preserve": ["read_id"], "paired": ["pair_id", "mate"]}[mode]
     return found.select(*ids, seq.alias("seq"))
 
 
