@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.llm.common import bounded_batches
+
 PROJECTIONS, GROW, SHARE = 96, 1.5, 0.5
 VERIFY, AT_LEAST = 0.18, 200
 BLOCK, QUERIES = 8192, 4096
@@ -114,6 +116,7 @@ def cosine(x: np.ndarray, norm: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each query (vec_id, embedding)."""
+    bounded_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     rows, asked = usable(vectors), usable(queries)
     dims = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()

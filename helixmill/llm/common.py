@@ -12,10 +12,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels look at in one go.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, so that long texts do not make huge ones: the session's
+    limit is lowered to BATCH_BYTES where it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +45,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage."""
 
     def __init__(self, spark: SparkSession, what: str):
+        bounded_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 

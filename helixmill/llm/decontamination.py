@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixmill.llm import grams as G
-from helixmill.llm.common import Scratch, slices, utf8
+from helixmill.llm.common import bounded_batches, Scratch, slices, utf8
 
 SPAN = 10  # words of a window
 K = 5  # words of a fingerprint's gram
@@ -132,6 +132,7 @@ def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "tex
     """The rows of ``docs`` with three columns more: ``__words`` (number of words),
     ``__hit`` (merged word ranges within occurrences of a window) and ``__items``
     (the items that occur, by row and id)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     add = T.StructType([
         T.StructField(WORDS, T.LongType()),

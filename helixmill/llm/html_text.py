@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixmill.llm.common import slices
+from helixmill.llm.common import bounded_batches, slices
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -366,6 +366,7 @@ def extract(page: str) -> str:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, text, n_chars, n_lines."""
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html"):

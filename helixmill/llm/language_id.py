@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import slices, utf8
+from helixmill.llm.common import bounded_batches, slices, utf8
 from helixmill.llm.grams import U, mix
 
 N = 5
@@ -95,7 +95,7 @@ def count_ngrams(docs: DataFrame, n: int = N) -> DataFrame:
                 g, c = np.unique(h, return_counts=True)
                 held.setdefault(lang, []).append((g, c))
                 size += len(g)
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield from flush()
         yield from flush()
 
@@ -177,6 +177,7 @@ def tag(docs: DataFrame, filters: Filters) -> DataFrame:
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     arrow, sent = to_arrow_schema(schema), docs.sparkSession.sparkContext.broadcast(filters)
 

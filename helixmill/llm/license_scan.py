@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from helixmill.llm import grams as G
-from helixmill.llm.common import slices, utf8
+from helixmill.llm.common import bounded_batches, slices, utf8
 
 WIDTH, CONTAINED = 5, 0.8
 WINDOWS = [(5, 1), (8, 2), (16, 4)]
@@ -148,6 +148,7 @@ class Templates:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_matches, licenses (ids, sorted, comma-joined) and
     matches (id:first word:end word, by place)."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixmill.llm.boosting import Boosted
-from helixmill.llm.common import slices
+from helixmill.llm.common import bounded_batches, slices
 
 KINDS = ("email", "ip", "card", "phone")
 TRAINING, PRECISION = 6000, 0.995
@@ -217,6 +217,7 @@ def _joined(spans: list[Span]) -> str:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    bounded_batches(docs.sparkSession)
     chooser = Chooser()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +250,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with personal data in text replaced and n_chars of the new text."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    bounded_batches(docs.sparkSession)
     chooser, arrow = Chooser(), to_arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
