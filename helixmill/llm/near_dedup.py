@@ -49,7 +49,7 @@ from helixmill.llm.common import Scratch, slices, utf8
 WIDTH, SHARE = 4, 80  # words of a shingle; percent
 LISTED, KEEP = 10, 256  # values in lists; values of a sketch
 BINS = 64
-LEVELS = [(6, 48), (14, 192)]
+LEVELS = [(4, 40), (8, 400)]  # a pair of similarity 0.8 shares no tuple with probability 1e-5, 5e-6
 SIGMAS = 4.2
 LONG = 1500  # members of a list that meet in one task
 CROSS = 4_000_000  # pairs between components that a longer list may have, counted twice
@@ -376,12 +376,14 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
     carried, done, used = None, [], []
     for level in range(len(LEVELS) + 1):
         counts = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        every = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m"), "every")
-        # Who shares one value only with anybody has no partner: a linked pair shares less
-        # than two with probability 4e-6.
-        shared = every.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
-        lists = scratch.save(every.join(shared, "rep").select("key", "rep", "n", "comp", "m"), "lists")
-        scratch.drop(every, *done)
+        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m"), "every")
+        scratch.drop(*done)
+        if level == 0:
+            # Who shares one listed value only with anybody has no partner: a linked pair shares
+            # less than two of ten with probability 4e-6. Tuples are too few for this.
+            every, shared = lists, lists.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
+            lists = scratch.save(every.join(shared, "rep").select("key", "rep", "n", "comp", "m"), "lists")
+            scratch.drop(every)
         short, long = lists.where(F.col("m") <= LONG), lists.where(F.col("m") > LONG)
         if comp is not None:
             short = short.join(_stats(short).select("key"), "key")

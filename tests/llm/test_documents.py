@@ -103,6 +103,57 @@ def test_near_dedup_stage(spark):
     assert near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_dedup_by_one_tuple(spark, monkeypatch):
+    """A pair that shares nothing but a long list and then one tuple is found."""
+    import pyarrow as pa
+
+    from helixmill.llm.common import utf8
+
+    import helixmill.llm.near_dedup as N
+
+    monkeypatch.setattr(N, "LONG", 3)
+    monkeypatch.setattr(N, "CROSS", 0)
+    monkeypatch.setattr(N, "LISTED", 2)
+    monkeypatch.setattr(N, "LEVELS", [(1, 1)])
+    place = np.random.default_rng(0).permutation(N.BINS)[0]
+    for seed in range(1000):
+        r = random.Random(seed)
+        plain = lambda n: " ".join(str(r.randrange(10**9)) for _ in range(n))
+        passage, more = plain(60), plain(100)
+        texts = [f"{passage} {more} {plain(3)}" for _ in range(2)] + [f"{passage} {plain(100)}" for _ in range(4)]
+        a, b, *rest = N.sets(*utf8(pa.array(texts, pa.large_string())), N.WIDTH)
+        kept = [(x[: N.KEEP] >> np.uint64(32)).astype(np.uint32).tobytes() for x in (a, b)]
+        sig = N.bins(N._matrix(kept))[:, place]
+        if all((x[:2] == a[:2]).all() for x in (b, *rest)) and sig[0] == sig[1] != 0xFFFFFFFF:
+            break
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    want = components(rows)
+    assert want[1][2] == 0 and not want[1][3]
+    assert sorted(map(tuple, N.near_duplicates(documents(spark, rows)).collect())) == sorted(want)
+
+
+def test_tuples_lose_few_pairs():
+    """Pairs of similarity 0.8 without a common tuple."""
+    import pyarrow as pa
+
+    import helixmill.llm.near_dedup as N
+
+    r = np.random.default_rng(3)
+    for level, (size, count) in enumerate(N.LEVELS):
+        kept = []
+        for n in (200, 400, 1500):
+            for _ in range(200):
+                x = r.integers(0, 1 << 32, n + n // 9 * 2, np.uint32)
+                kept += [np.unique(x[: n + n // 9])[: N.KEEP].tobytes(), np.unique(np.append(x[:n], x[n + n // 9 :]))[: N.KEEP].tobytes()]
+        ids = pa.array(np.arange(len(kept)))
+        batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(kept, pa.binary()), ids], ["rep", "n", "kept", "comp"])
+        keys = {}
+        for b in N._tuples(size, count, level)([batch]):
+            for rep, key in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
+                keys.setdefault(rep, set()).add(key)
+        assert sum(not keys[i] & keys[i + 1] for i in range(0, len(kept), 2)) <= 1
+
+
 def test_estimate_is_exact_for_small_sets():
     from helixmill.llm.near_dedup import KEEP, Row, estimate
 
