@@ -40,8 +40,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from helixmill.llm import grams as G
 from helixmill.llm.common import Scratch, slices, utf8
@@ -424,6 +425,11 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
+    return _judged(docs, width, share).drop("fp")
+
+
+def _judged(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """near_duplicates with the identity of each row's set, fp."""
     docs = docs.select("doc_id", "text")
     scratch = Scratch(docs.sparkSession, "near-dedup")
     found = scratch.save(sketch(docs, width), "sketches")
@@ -436,15 +442,37 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, share: int = SHARE) ->
     out = _labelled(out.withColumn("rep", F.when(F.col("n") > 0, F.col("rep"))), comp)
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     scratch.drop(reps)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that nearly repeat another document; of
-    rows with one doc_id one stays."""
-    found = near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` without those that nearly repeat another document; of rows
+    with one doc_id and one shingle set the one with the least text stays, rows with
+    null doc_id all stay."""
+    found = _judged(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__set")).distinct()
+    is_gone = F.col("doc_id") == F.col("__gone")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    if repeated.limit(1).count() == 0:
+        return docs.join(gone, is_gone, "left_anti")
+    again = F.col("doc_id") == F.col("__again")
+    once = docs.join(repeated, again, "left_anti").join(gone, is_gone, "left_anti")
+    # of one doc_id one row may repeat another document and the next one not
+    more = _one_each(docs.join(repeated, again, "left_semi")).join(gone, is_gone & (F.col("__fp") == F.col("__set")), "left_anti")
+    return once.unionByName(more.drop("__fp"))
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row of each (doc_id, shingle set), with the set's identity __fp: the least text, then the least other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = docs_columns.index("text")
+        for b in slices(batches, "text"):
+            fp = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets(*utf8(b.column(at)), WIDTH)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], [*docs_columns, "__fp"])
+
+    docs_columns = docs.columns
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", BinaryType())]))
+    order = [F.col(f"`{c}`") for c in ("text", *(c for c in docs_columns if c not in ("doc_id", "text")))]
+    first = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(*order))
+    return marked.withColumn("__rn", first).where("__rn = 1").drop("__rn")

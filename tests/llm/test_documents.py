@@ -103,6 +103,15 @@ def test_near_dedup_stage(spark):
     assert near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_keeps_null_ids_and_texts(spark):
+    from helixmill.llm.near_dedup import keep_one
+
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, a, "en"), (1, a, "en"), (1, b, "en"), (2, "a lone text of six words", "en"), (None, a, "en"), (None, b, "en"), (None, b, "en"), (5, a, "en"), (5, "yet other words that none else has", "en")]
+    got = [(r.doc_id, r.text) for r in keep_one(documents(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (2, rows[3][1]), (5, rows[-1][1]), (None, a), (None, b), (None, b)], key=str)
+
+
 def test_near_dedup_by_one_tuple(spark, monkeypatch):
     """A pair that shares nothing but a long list and then one tuple is found."""
     import pyarrow as pa
