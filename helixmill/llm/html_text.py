@@ -56,6 +56,7 @@ MAX_CELL, MAX_SPAN = 60, 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -78,7 +79,6 @@ def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root", {})
     stack, at, raw = [root], 0, None
-    low = None
 
     def text(s: str):
         if s:
@@ -97,12 +97,11 @@ def parse(page: str) -> Node:
 
     while True:
         if raw:
-            low = low or page.lower()
-            end = low.find(f"</{raw}", at)
-            body = page[at : end if end >= 0 else len(page)]
+            m = _END[raw].search(page, at)
+            end = m.start() if m else len(page)
             if raw == "textarea":
-                text(body)
-            at = end if end >= 0 else len(page)
+                text(page[at:end])
+            at = end
             raw = None
         m = _TOKEN.search(page, at)
         if not m:

@@ -122,6 +122,13 @@ def test_html_text(html, want):
     assert extract(html).replace("> q\n\n> r", "> q\n\n> r") == want
 
 
+def test_html_end_tags_behind_capital_dotted_i():
+    from helixmill.llm.html_text import extract
+
+    assert extract("<div>" + "\u0130" * 30 + "<script>x</SCRIPT>seen</div>") == "\u0130" * 30 + "seen"
+    assert extract("\u0130" * 30 + "<textarea>a</textarea><b>c</b>").endswith("a\n\nc")
+
+
 def test_html_extreme(spark):
     from helixmill.llm.html_text import extract, extract_text
 
