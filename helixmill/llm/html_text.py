@@ -31,11 +31,13 @@ from helixmill.llm.common import bounded_batches, slices
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object svg math canvas audio video datalist select option dialog area map".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe canvas audio video datalist area annotation annotation-xml".split())
+SVG_HIDDEN = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
+APART = frozenset("option optgroup text".split())  # labels set apart by a space
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
-ENDS_P = BLOCK - frozenset("html body caption tbody thead tfoot tr".split())
+ENDS_P = BLOCK - frozenset("html body caption tbody thead tfoot tr".split()) | {"xmp"}
 #: Start tag: open elements that it ends, and the elements beyond which it does not look.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -101,6 +103,8 @@ def parse(page: str) -> Node:
             end = m.start() if m else len(page)
             if raw == "textarea":
                 text(page[at:end])
+            elif raw == "xmp" and end > at:
+                stack[-1].children.append(page[at:end])
             at = end
             raw = None
         m = _TOKEN.search(page, at)
@@ -129,6 +133,8 @@ def parse(page: str) -> Node:
         if tag in ("html", "body") and find((tag,), ()):
             continue
         node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {})
+        if tag in SVG_HIDDEN and find(("svg",), ()):
+            node.attrs["hidden"] = ""
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -139,7 +145,7 @@ def parse(page: str) -> Node:
 
 def hidden(n: Node) -> bool:
     a = n.attrs
-    return n.tag in HIDDEN or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or n.tag == "input" and a.get("type", "").lower() == "hidden" or bool(_UNSEEN.search(a.get("style", ""))))
+    return n.tag in HIDDEN or n.tag == "dialog" and "open" not in a or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or n.tag == "input" and a.get("type", "").lower() == "hidden" or bool(_UNSEEN.search(a.get("style", ""))))
 
 
 class Page:
@@ -284,7 +290,7 @@ def _render_into(root: Node, page: Page) -> None:
             if n.attrs.get("type", "").lower() in ("submit", "button", "reset") and n.attrs.get("value"):
                 page.words(n.attrs["value"])
             continue
-        if tag == "pre" or tag == "textarea":
+        if tag in ("pre", "textarea", "xmp"):
             page.blank()
             page.verbatim(_verbatim(n))
             page.blank()
@@ -308,6 +314,10 @@ def _render_into(root: Node, page: Page) -> None:
             stack.append(("call", page.end, None, None))
             stack += [("node", x, page, lists) for x in reversed(captions)]
             continue
+        if tag in APART:
+            page.space = True
+            if tag == "optgroup" and n.attrs.get("label"):
+                page.words(n.attrs["label"] + " ")
         gap = 0
         inner = lists
         if tag in BLOCK:
@@ -331,7 +341,8 @@ def _render_into(root: Node, page: Page) -> None:
             page.prefix.append("> ")
             done.append(page.prefix.pop)
 
-        def leave(page=page, gap=gap, done=done, li=tag == "li"):
+        def leave(page=page, gap=gap, done=done, li=tag == "li", apart=tag in APART):
+            page.space |= apart
             if gap:
                 page.blank(gap)
             if li:

@@ -122,6 +122,23 @@ def test_html_text(html, want):
     assert extract(html).replace("> q\n\n> r", "> q\n\n> r") == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>", "x=1"),
+        ("<svg><title>no</title><defs><text>no</text></defs><text>a</text><text>b</text></svg>", "a b"),
+        ("<select><optgroup label=l><option>a<option selected>b</select>c", "l a b c"),
+        ("<dialog>no</dialog><dialog open>a</dialog>", "a"),
+        ("<object>a</object> <map>b<area></map>", "a b"),
+        ("a<xmp><b>x</b> &amp;</xmp>c", "a\n\n<b>x</b> &amp;\n\nc"),
+    ],
+)
+def test_html_emits_what_browsers_show(html, want):
+    from helixmill.llm.html_text import extract
+
+    assert extract(html) == want
+
+
 def test_html_end_tags_behind_capital_dotted_i():
     from helixmill.llm.html_text import extract
 
