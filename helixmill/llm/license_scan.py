@@ -98,7 +98,7 @@ class Templates:
         if sum(len(t.encode()) for t in templates.values()) > TEMPLATE_BYTES:
             raise ValueError("templates are larger than TEMPLATE_BYTES; scan them in parts")
         self.ids = list(templates)
-        self.sets, self.length = [], []
+        self.sets, self.length, self.places = [], [], []
         entries: dict[tuple[int, int], list[list[np.ndarray]]] = {}
         for t, text in enumerate(templates.values()):
             raw, at = utf8(pa.array([text], pa.large_string()))
@@ -108,11 +108,23 @@ class Templates:
             g = G.grams(h, WIDTH)
             self.sets.append(np.unique(g))
             self.length.append(len(h))
+            order = np.argsort(g, kind="stable")
+            self.places.append((g[order], order))
             window = max(w for w in WINDOWS if len(h) >= w[0] + w[1] - 1)
             for starts, keys in _bands(g, window[0], 1):
                 entries.setdefault(window, []).append([keys, np.full(len(keys), t), starts])
         self.windows = {w: (G.Index(np.concatenate([e[0] for e in v])), np.concatenate([e[1] for e in v]), np.concatenate([e[2] for e in v])) for w, v in entries.items()}
 
+    def _aligned(self, t: int, values: np.ndarray, at: np.ndarray, slack: int) -> np.ndarray:
+        """Which shingles stand within ``slack`` words of their place in the template."""
+        keys, order = self.places[t]
+        row, end = np.searchsorted(keys, values), np.searchsorted(keys, values, "right")
+        ok = np.zeros(len(values), bool)
+        while (more := row < end).any():
+            ok[more] |= np.abs(at[more] - order[row[more]]) <= slack
+            row = row + 1
+        return ok
+
     def matches(self, w: G.Words) -> list[list[tuple[str, int, int, float]]]:
         """Per document: (template, first word, end word, contained share)."""
         found: list[list] = [[] for _ in range(len(w.first) - 1)]
@@ -128,12 +140,18 @@ class Templates:
         for d, t, at in sorted(seen):
             slack = self.length[t] // 5 + 2
             first, last = int(w.first[d]), int(w.first[d + 1])
-            if found[d] and (m := found[d][-1])[0] == t and at + first * 0 < m[2] and at >= m[1]:
+            if found[d] and (m := found[d][-1])[0] == t and at >= m[1] and at + self.length[t] <= m[2]:
                 continue
             lo, hi = max(first, at - slack), min(last, at + self.length[t] + slack) - WIDTH + 1
             here = np.flatnonzero(np.isin(g[lo:hi], self.sets[t]))
             share = len(np.unique(g[lo:hi][here])) / len(self.sets[t])
             if share >= CONTAINED:
+                # copies may follow each other: the match ends with its own copy's shingles
+                own = here[self._aligned(t, g[lo:hi][here], lo + here - at, slack)]
+                if len(np.unique(g[lo:hi][own])) / len(self.sets[t]) >= CONTAINED:
+                    here = own
+                elif found[d] and (m := found[d][-1])[0] == t and m[1] <= at < m[2]:
+                    continue
                 a, b = lo + int(here[0]), lo + int(here[-1]) + WIDTH
                 if found[d] and found[d][-1][0] == t and a < found[d][-1][2]:
                     m = found[d][-1]

@@ -387,6 +387,15 @@ def test_license_scan(spark):
         scan(documents(spark, rows), {"x": "too short"})
 
 
+def test_license_scan_counts_repeats_of_long_notices(spark):
+    from helixmill.llm.license_scan import TEMPLATES, scan
+
+    for name in ("MIT-text", "GPL-header", "BSD"):
+        n = len(alnum(TEMPLATES[name]))
+        got = scan(documents(spark, [(1, " ".join([TEMPLATES[name]] * 7), "en")])).first()
+        assert got.matches == ",".join(f"{name}:{i * n}:{i * n + n}" for i in range(7))
+
+
 def test_lower_case_is_ascii_only():
     from helixmill.llm import grams as G
     from helixmill.llm.common import utf8
