@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.plans.storage import shared_folder
+
 #: Bytes of text that the vectorised kernels look at in one go.
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch on its way to Python.
@@ -31,14 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one
-    of our own only where that is unset (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="helixmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def sheltered(docs: DataFrame, reserved: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with columns named like a ``reserved`` one renamed, and what gives a table of
+    the same columns their names back."""
+    taken, names = {c.lower() for c in docs.columns} | {r.lower() for r in reserved}, []
+    for c in docs.columns:
+        name, i = c, 0
+        while c.lower() in {r.lower() for r in reserved} and name.lower() in taken:
+            name, i = f"{c}_{i}", i + 1
+        taken.add(name.lower())
+        names.append(name)
+    return docs.toDF(*names), lambda out: out.toDF(*docs.columns)
 
 
 class Scratch:
@@ -46,7 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         bounded_batches(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
     def path(self, name: str) -> str:

@@ -2,26 +2,32 @@
 
 A document's set is its distinct ``WIDTH``-word shingles (words are runs of
 non-space characters, A-Z lower-cased). Documents with one and the same set
-form a class at once; the rest works on one document per class:
-
-1. Inverted lists. The ``LISTED`` smallest hash values of each set are listed by
-   value. Sets with Jaccard similarity s miss each other in all lists with
-   probability (1 - s) ** LISTED, 1e-7 at 0.8.
-2. Overlaps. Members of a list of up to ``LONG`` meet inside one task, which
+form a class at once; the rest works on one document per class, whose sketch is
+the ``KEEP`` smallest hash values of its set:
+
+1. Inverted lists. Each sketch is walked from its smallest value on. A value that more
+   than ``LONG`` documents list is hot (a passage that many share) and is passed over;
+   the others are listed until there are ``LISTED`` more of them than hot ones were
+   passed. Sets of similarity 0.8 then share no list with probability 1e-7 without hot
+   values, 8e-7 at most with them, and one list only with 6e-6. Which values are hot
+   is found in rounds, until none is added, and is the same for all documents.
+2. A document whose sketch ends before that and is hot by ``DENSE`` or more lists its
+   ``LISTED`` smallest hot values too: two such sets may share nothing else.
+3. Overlaps. Members of a list of up to ``LONG`` meet inside one task, which
    compares sketches and emits only pairs that pass, and of surely linked ones no
-   more than it takes to join their components.
-3. Members of a longer list first meet its hub, the member whose lists are longest:
+   more than it takes to join their components. Where the exact check refuses such a
+   pair, its list meets anew without that shortcut.
+4. Members of a longer list first meet its hub, the member whose lists are longest:
    a group of near copies becomes one component this way without pairs among them.
    Where few of its pairs are then still between components, the members outside
    the largest component meet all others, block by block.
-4. Where many are (a passage that many documents share), the members are listed
-   anew by tuples of retained values; ``LEVELS`` gives tuple size and number of
-   tuples. A list that stays open at the last level is compared block by block, so
-   nothing is dropped.
-5. The union of both sketches estimates the similarity, without error for sets of
+5. Where many are, the members are listed anew by tuples of retained values;
+   ``LEVELS`` gives tuple size and number of tuples. A list that stays open at the
+   last level is compared block by block, so nothing is dropped.
+6. The union of both sketches estimates the similarity, without error for sets of
    up to ``KEEP`` shingles; pairs more than ``SIGMAS`` standard deviations under the
    threshold are let go.
-6. Exact Jaccard on the full shingle sets, from the texts, confirms each link.
+7. Exact Jaccard on the full shingle sets, from the texts, confirms each link.
 
 Components are found by alternating large-star and small-star steps on tables in
 the shared folder.
@@ -30,13 +36,15 @@ Cases: null or blank text has an empty set, links with nothing and stands alone;
 fewer than WIDTH words are one shingle; equal documents are linked; rows that
 repeat a doc_id get one row each in the result, with the same component; rows
 with null doc_id take no part, they keep component_id null and kept true; extra
-columns are not read.
+columns are not read; a very long text is one row of the text slices and its set is
+held by one task at a time; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +53,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from helixmill.llm import grams as G
-from helixmill.llm.common import Scratch, slices, utf8
+from helixmill.llm.common import Scratch, sheltered, slices, utf8
 
 WIDTH, SHARE = 4, 80  # words of a shingle; percent
 LISTED, KEEP = 10, 256  # values in lists; values of a sketch
+DENSE = 0.65  # share of hot values from which a sketch that ran out lists hot ones too
+HOT_SHIFT = 20  # with over LONG << HOT_SHIFT listed values, hot begins at that part of them: the hot values stay few
 BINS = 64
 LEVELS = [(4, 40), (8, 400)]  # a pair of similarity 0.8 shares no tuple with probability 1e-5, 5e-6
 SIGMAS = 4.2
@@ -75,7 +85,7 @@ def sets(raw: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
 
 
 def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n, fp, low, kept): set size, set identity, listed values, sketch."""
+    """(doc_id, n, fp, kept, rest): set size, set identity, upper and lower halves of the sketch's values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -84,11 +94,71 @@ def sketch(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 b.column(0).cast(pa.int64()),
                 pa.array([len(x) for x in found], pa.int64()),
                 pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found], pa.binary()),
-                pa.array([x[:LISTED].view(np.int64) for x in found], pa.list_(pa.int64())),
                 pa.array([(x[:KEEP] >> G.U(32)).astype(np.uint32).tobytes() for x in found], pa.binary()),
-            ], ["doc_id", "n", "fp", "low", "kept"])
+                pa.array([x[:KEEP].astype(np.uint32).tobytes() for x in found], pa.binary()),
+            ], ["doc_id", "n", "fp", "kept", "rest"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, kept binary, rest binary")
+
+
+def walk(values: np.ndarray, at: np.ndarray, hot: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, value, kind) of what is listed of sketches laid end to end, document i's
+    from at[i] on; ``hot`` is sorted. Kind 0: of a document that met no hot value, 1: of one
+    that did, 2: a hot value of a dense one. ``factor`` looks further in search of hot values."""
+    size = np.diff(at)
+    own = np.repeat(np.arange(len(size)), size)
+    is_hot = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values if len(hot) else np.zeros(len(values), bool)
+    met = np.concatenate(([0], np.cumsum(is_hot)))
+    before = met[at[:-1]][own]
+    hot_so_far = met[1:] - before
+    place = np.arange(len(values)) - at[:-1][own]  # from 0
+    cold_so_far = place + 1 - hot_so_far
+    enough = cold_so_far >= np.where(hot_so_far > 0, factor * (LISTED + hot_so_far), LISTED)
+    ends = np.full(len(size), KEEP)
+    np.minimum.at(ends, own[enough], place[enough])
+    mine = ends[own]
+    seen = np.bincount(own[is_hot & (place <= mine)], minlength=len(size))
+    every = met[at[1:]] - met[at[:-1]]
+    dense = (ends == KEEP) & (every > 0) & (every >= DENSE * size)
+    cold = ~is_hot & (place <= mine)
+    some = is_hot & dense[own] & (hot_so_far <= LISTED)
+    doc = np.concatenate((own[cold], own[some]))
+    kind = np.concatenate(((seen[own[cold]] > 0).astype(np.int32), np.full(int(some.sum()), 2, np.int32)))
+    return doc, np.concatenate((values[cold], values[some])), kind
+
+
+def _walked(sent, factor: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 2000):
+                x = big.slice(lo, 2000)
+                high, low = (c.to_pylist() for c in (x.column(2), x.column(3)))
+                at = np.concatenate(([0], np.cumsum([len(h) // 4 for h in high])))
+                v = (np.frombuffer(b"".join(high), np.uint32).astype(G.U) << G.U(32)) | np.frombuffer(b"".join(low), np.uint32).astype(G.U)
+                doc, value, kind = walk(v, at, sent.value, factor)
+                doc = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([x.column(0).take(doc), x.column(1).take(doc), pa.array(value.view(np.int64)), pa.array(kind)], ["rep", "n", "key", "kind"])
+
+    return run
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, fp binary, low array<long>, kept binary")
+
+def listed(scratch: Scratch, reps: DataFrame) -> DataFrame:
+    """(rep, n, key, kind) of all lists; ``reps`` holds (rep, n, kept, rest).
+
+    The hot values go out to all tasks: fewer than KEEP / LISTED * 2 ** HOT_SHIFT of them
+    exist, as each is listed more than reps * LISTED / 2 ** HOT_SHIFT times."""
+    spark = scratch.spark
+    least = max(LONG, reps.count() * LISTED >> HOT_SHIFT)
+    rows, hot = reps.select("rep", "n", "kept", "rest"), np.zeros(0, G.U)
+    schema = "rep long, n long, key long, kind int"
+    while True:
+        sent = spark.sparkContext.broadcast(hot)
+        often = rows.mapInArrow(_walked(sent, 2), schema).where("kind < 2").groupBy("key").agg(F.count("*").alias("m"))
+        more = often.where(F.col("m") > least).select("key").toPandas()["key"].to_numpy(np.int64).view(G.U)
+        if not len(more):
+            break
+        hot = np.union1d(hot, more)
+    return scratch.save(rows.mapInArrow(_walked(sent, 1), schema), "listed")
 
 
 def _matrix(kept: list[bytes]) -> np.ndarray:
@@ -168,9 +238,10 @@ def _whole(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _meet(share: int):
-    """Pairs of a group's members, of different components, whose sketches agree.
-    side 0 meets all; sides 1 and 2 meet each other and side 0."""
+def _meet(share: int, joining: bool = True):
+    """(a, b, sure): pairs of a group's members, of different components, whose sketches
+    agree. side 0 meets all; sides 1 and 2 meet each other and side 0. With ``joining``
+    a sure pair counts as linked for the pairs after it."""
     least = share / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +252,12 @@ def _meet(share: int):
             m = _matrix(b.column(b.schema.get_field_index("kept")).to_pylist())
             sig, row = bins(m), Row(m, n)
             _, label = np.unique(comp, return_inverse=True)  # components as joined so far in this task
-            a_out, b_out = [], []
+            a_out, b_out, is_sure = [], [], []
 
-            def emit(i, j):
+            def emit(i, j, sure):
                 a_out.append(np.minimum(ids[i], ids[j]))
                 b_out.append(np.maximum(ids[i], ids[j]))
+                is_sure.append(np.full(len(j), sure))
 
             for i in range(len(ids) - 1):
                 j = np.arange(i + 1, len(ids))
@@ -196,16 +268,16 @@ def _meet(share: int):
                 if not len(j):
                     continue
                 s, dev = row.estimate(i, j)
-                sure = s >= least + SIGMAS * dev - 1e-9
+                sure = (s >= least + SIGMAS * dev - 1e-9) & joining
                 if sure.any():
                     joined, first = np.unique(label[j[sure]], return_index=True)
-                    emit(i, j[sure][first])
+                    emit(i, j[sure][first], True)
                     label[np.isin(label, joined)] = label[i]
                 may = ~sure & (s >= least - SIGMAS * dev - 1e-9) & (label[j] != label[i])
                 if may.any():
-                    emit(i, j[may])
+                    emit(i, j[may], False)
             if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a_out, b_out, is_sure)], ["a", "b", "sure"])
 
     return run
 
@@ -352,45 +424,63 @@ def _dealt_far(lists: DataFrame) -> DataFrame:
 
 
 def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame | None:
-    """(rep, comp) of all linked class representatives ``reps`` (rep, n, low, kept)."""
+    """(rep, comp) of all linked class representatives ``reps`` (rep, n, kept, rest)."""
     sizes, kept = reps.select("rep", "n"), reps.select("rep", "kept")
     alike = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * share)
     n_tasks = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     links, comp = None, None
 
-    def met(dealt: DataFrame) -> DataFrame:
+    def met(dealt: DataFrame, joining: bool = True) -> DataFrame:
         rows = dealt.join(kept, "rep").select("g", "rep", "n", "comp", "side", "kept")
-        return rows.repartition(n_tasks, "g").sortWithinPartitions("g").mapInArrow(_meet(share), "a long, b long")
+        return rows.repartition(n_tasks, "g").sortWithinPartitions("g").mapInArrow(_meet(share, joining), "a long, b long, sure boolean")
 
-    def add(pairs: DataFrame):
+    def confirm(pairs: DataFrame) -> DataFrame:
         nonlocal links, comp
-        pairs = scratch.save(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return
-        found = verify(scratch, pairs, docs, sizes, width, share)
-        scratch.drop(pairs)
+        found = verify(scratch, pairs.select("a", "b"), docs, sizes, width, share)
         links = found if links is None else links.union(found)
         comp = scratch.save(components(scratch, links), "components")
         links = comp.select(F.col("rep").alias("a"), F.col("comp").alias("b")).where("a <> b")
+        return found
 
-    members = reps.select("rep", "n", F.col("rep").alias("comp"), F.explode("low").alias("key"))
-    carried, done, used = None, [], []
+    def add(dealt: list[DataFrame], star: DataFrame | None = None):
+        pairs = [met(d) for d in dealt] + ([star.select("a", "b", F.lit(False).alias("sure"))] if star is not None else [])
+        pairs = scratch.save(reduce(DataFrame.union, pairs).groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
+        if pairs.isEmpty():
+            return
+        found = confirm(pairs)
+        failed = pairs.where("sure").join(found, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        failed = scratch.save(failed, "failed")
+        scratch.drop(pairs)
+        if not failed.isEmpty():  # what was left out behind them is looked at again
+            every = reduce(DataFrame.union, dealt)
+            again = every.join(every.join(failed, "rep").select("g").distinct(), "g")
+            pairs = scratch.save(met(_labelled(again.drop("comp"), comp).select(*every.columns), False).select("a", "b").distinct(), "pairs")
+            if not pairs.isEmpty():
+                confirm(pairs)
+            scratch.drop(pairs)
+
+    members = listed(scratch, reps)
+    done = [members]
+    members = members.withColumn("comp", F.col("rep"))
+    carried, used = None, []
     for level in range(len(LEVELS) + 1):
         counts = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m"), "every")
+        kind = [] if level else ["kind"]
+        lists = scratch.save(members.join(counts, "key").select("key", "rep", "n", "comp", "m", *kind), "every")
         scratch.drop(*done)
         if level == 0:
-            # Who shares one listed value only with anybody has no partner: a linked pair shares
-            # less than two of ten with probability 4e-6. Tuples are too few for this.
-            every, shared = lists, lists.groupBy("rep").agg(F.count("*").alias("k")).where("k > 1").select("rep")
+            # Who met no hot value and shares one listed value only with anybody has no partner: a linked
+            # pair shares less than two of ten with probability 4e-6. Tuples are too few for this.
+            every, shared = lists, lists.groupBy("rep").agg(F.count("*").alias("k"), F.max("kind").alias("kind")).where("k > 1 OR kind > 0").select("rep")
             lists = scratch.save(every.join(shared, "rep").select("key", "rep", "n", "comp", "m"), "lists")
             scratch.drop(every)
         short, long = lists.where(F.col("m") <= LONG), lists.where(F.col("m") > LONG)
         if comp is not None:
             short = short.join(_stats(short).select("key"), "key")
-        pairs = met(short.select(F.xxhash64("key").alias("g"), "rep", "n", "comp", F.lit(0).alias("side")))
+        dealt = [short.select(F.xxhash64("key").alias("g"), "rep", "n", "comp", F.lit(0).alias("side"))]
         if carried is not None:
-            pairs = pairs.union(met(carried))
+            dealt.append(carried)
+        star = None
         some_long = not long.isEmpty()
         if some_long:
             score = long.groupBy("rep").agg(F.sum("m").alias("score"))
@@ -399,8 +489,8 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
             star = scored.join(hubs, "key").where((F.col("hub.comp") != F.col("comp")) & alike(F.col("hub.n"), F.col("n")))
             star = star.select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b")).distinct()
             star = star.join(kept.select(F.col("rep").alias("a"), F.col("kept").alias("ka")), "a").join(kept.select(F.col("rep").alias("b"), F.col("kept").alias("kb")), "b")
-            pairs = pairs.union(star.select("a", "b", "ka", "kb").mapInArrow(_estimated(share), "a long, b long"))
-        add(pairs)
+            star = star.select("a", "b", "ka", "kb").mapInArrow(_estimated(share), "a long, b long")
+        add(dealt, star)
         scratch.drop(*used)
         carried, done, used = None, [], []
         if not some_long:
@@ -412,11 +502,11 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         near, far = open_lists.where(F.col("cross") <= CROSS), open_lists.where(F.col("cross") > CROSS)
         carried = _dealt_near(near)
         if level == len(LEVELS):
-            add(met(carried.union(_dealt_far(far))))
+            add([carried, _dealt_far(far)])
             break
         dense = scratch.save(far.select("rep", "comp").distinct().join(reps, "rep").select("rep", "n", "kept", "comp"), "dense")
         if dense.isEmpty():
-            add(met(carried))
+            add([carried])
             break
         done = [dense]
         members = dense.mapInArrow(_tuples(*LEVELS[level], level), "rep long, n long, comp long, key long").distinct()
@@ -434,7 +524,10 @@ def _judged(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFram
     scratch = Scratch(docs.sparkSession, "near-dedup")
     found = scratch.save(sketch(docs, width), "sketches")
     classes = scratch.save(found.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.save(found.join(classes, (found["fp"] == classes["fp"]) & (found["doc_id"] == classes["rep"])).select("rep", "n", "low", "kept").dropDuplicates(["rep"]), "representatives")
+    # where rows of one doc_id stand for several sets, one of the sets stands for them
+    one = classes.groupBy("rep").agg(F.min("fp").alias("of"))
+    reps = found.join(one, found["doc_id"] == one["rep"]).where(found["fp"] == one["of"]).dropDuplicates(["rep"])
+    reps = scratch.save(reps.select("rep", "n", "kept", "rest"), "representatives")
     light = scratch.save(found.select("doc_id", "n", "fp"), "sets")
     scratch.drop(found)
     found, comp = light, link(scratch, docs, reps, width, share)
@@ -448,8 +541,12 @@ def _judged(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFram
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that nearly repeat another document; of rows
     with one doc_id and one shingle set the one with the least text stays, rows with
-    null doc_id all stay."""
-    found = _judged(docs)
+    null doc_id all stay; other columns come through, whatever their names."""
+    docs, named = sheltered(docs, ("__gone", "__set", "__again", "__fp", "__rn"))
+    return named(_kept(docs, _judged(docs)))
+
+
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__set")).distinct()
     is_gone = F.col("doc_id") == F.col("__gone")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
