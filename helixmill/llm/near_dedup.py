@@ -30,7 +30,7 @@ the ``KEEP`` smallest hash values of its set:
 7. Exact Jaccard on the full shingle sets, from the texts, confirms each link.
 
 Components are found by alternating large-star and small-star steps on tables in
-the shared folder.
+the shared folder, or in one task where there are ``EDGES`` links at most.
 
 Cases: null or blank text has an empty set, links with nothing and stands alone;
 fewer than WIDTH words are one shingle; equal documents are linked; rows that
@@ -58,6 +58,7 @@ from helixmill.llm.common import Scratch, sheltered, slices, utf8
 WIDTH, SHARE = 4, 80  # words of a shingle; percent
 LISTED, KEEP = 10, 256  # values in lists; values of a sketch
 DENSE = 0.65  # share of hot values from which a sketch that ran out lists hot ones too
+AHEAD = 4  # how much further documents that met hot values are walked in search of more
 HOT_SHIFT = 20  # with over LONG << HOT_SHIFT listed values, hot begins at that part of them: the hot values stay few
 BINS = 64
 LEVELS = [(4, 40), (8, 400)]  # a pair of similarity 0.8 shares no tuple with probability 1e-5, 5e-6
@@ -66,6 +67,7 @@ LONG = 1500  # members of a list that meet in one task
 CROSS = 4_000_000  # pairs between components that a longer list may have, counted twice
 BLOCK = 512  # members of a longer list in one task
 CHUNK = 400_000  # shingles of the texts verified together
+EDGES = 1 << 20  # links whose components one task finds, in some 100 MB
 SLOTS = 1 << 24  # bits of the table of documents that a verification needs
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -153,7 +155,7 @@ def listed(scratch: Scratch, reps: DataFrame) -> DataFrame:
     schema = "rep long, n long, key long, kind int"
     while True:
         sent = spark.sparkContext.broadcast(hot)
-        often = rows.mapInArrow(_walked(sent, 2), schema).where("kind < 2").groupBy("key").agg(F.count("*").alias("m"))
+        often = rows.mapInArrow(_walked(sent, AHEAD), schema).where("kind < 2").groupBy("key").agg(F.count("*").alias("m"))
         more = often.where(F.col("m") > least).select("key").toPandas()["key"].to_numpy(np.int64).view(G.U)
         if not len(more):
             break
@@ -371,9 +373,24 @@ def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, sizes: DataFrame
     return links
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, comp) of all edges (u, v) of one task: each root hangs on the smallest it meets."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, label = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while (label[u] != label[v]).any():
+        np.minimum.at(label, np.maximum(label[u], label[v]), np.minimum(label[u], label[v]))
+        while (label != label[label]).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["rep", "comp"])
+
+
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(rep, comp) for every end of a link; comp is the smallest reachable end."""
     edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.count() <= EDGES:
+        return edges.coalesce(1).mapInArrow(_joined, "rep long, comp long")
     state = lambda e: e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     before = state(edges)
     while True:
@@ -449,15 +466,15 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
             return
         found = confirm(pairs)
         failed = pairs.where("sure").join(found, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        failed = scratch.save(failed, "failed")
-        scratch.drop(pairs)
         if not failed.isEmpty():  # what was left out behind them is looked at again
+            failed = scratch.save(failed, "failed")
             every = reduce(DataFrame.union, dealt)
             again = every.join(every.join(failed, "rep").select("g").distinct(), "g")
+            scratch.drop(pairs)
             pairs = scratch.save(met(_labelled(again.drop("comp"), comp).select(*every.columns), False).select("a", "b").distinct(), "pairs")
             if not pairs.isEmpty():
                 confirm(pairs)
-            scratch.drop(pairs)
+        scratch.drop(pairs)
 
     members = listed(scratch, reps)
     done = [members]
