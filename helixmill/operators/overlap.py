@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.sequence import kmer
-from helixmill.operators.ordering import next_in_group, union_all
+from helixmill.operators.ordering import dense_number, next_in_group, union_all, unsized
 from helixmill.params import ReadParams
 from helixmill.plans.storage import Store
 
 LINK = "s long, p long, off int"
+STEPS, FEW = 7, 8  # offsets in one job; bases of an overlap whose keys are dealt further
 
 
 def distinct_reads(reads: DataFrame) -> DataFrame:
@@ -34,32 +35,67 @@ def prefix_index(prefixes: DataFrame, p: ReadParams) -> DataFrame:
 
 
 def overlap_candidates(suffixes: DataFrame, prefixes: DataFrame, p: ReadParams, offsets: tuple[int, int] | None = None) -> DataFrame:
-    """All exact overlaps with offset below max_offset, by one seed join for all offsets."""
+    """All exact overlaps with offset below max_offset, by one seed join for all offsets.
+
+    A suffix goes out as its seed's hash and the hash of all its bases: 28 bytes an offset.
+    Reads whose seed and suffix agree in both are taken to overlap (128 bits)."""
     lo, hi = offsets or (1, p.max_offset)
     if hi <= lo:
         return suffixes.sparkSession.createDataFrame([], LINK)
-    s = suffixes.select(F.col("read_id").alias("s"), F.col("seq").alias("s_seq"), F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("off"))
-    s = s.withColumn("key", F.xxhash64(kmer("s_seq", F.col("off") + p.overlap_at, p.overlap_k)))
-    index = prefix_index(prefixes, p).select(F.col("read_id").alias("p"), F.col("seq").alias("p_seq"), F.xxhash64("kmer").alias("key"))
-    same = F.substring("s_seq", F.col("off") + 1, F.lit(p.length)) == F.substring(F.col("p_seq"), F.lit(1), p.length - F.col("off"))
-    return s.join(index, "key").where((F.col("s") != F.col("p")) & same).select("s", "p", "off")
-
-
-def rank_zip(suffixes: DataFrame, prefixes: DataFrame, off: int, p: ReadParams, salts: int = 1) -> DataFrame:
-    """Pairs each equal suffix and prefix once: the i-th suffix of a key with its i-th prefix.
-
-    Where a read would meet itself, the group's prefixes are shifted by one; pairs of a read
-    with itself that are left are dropped. ``salts`` deals keys of few bases, which most
-    reads share, to that many groups each."""
-    salt = F.pmod(F.xxhash64("read_id"), F.lit(salts))
-    left = suffixes.select(F.substring("seq", off + 1, p.length).alias("key"), salt.alias("salt"), F.col("read_id").alias("s"))
-    right = prefixes.select(F.substring("seq", 1, p.length - off).alias("key"), salt.alias("salt"), F.col("read_id").alias("p"))
-    left = left.withColumn("rn", F.row_number().over(Window.partitionBy("key", "salt").orderBy("s")))
-    group = Window.partitionBy("key", "salt")
-    right = right.withColumn("rn", F.row_number().over(group.orderBy("p"))).withColumn("size", F.count("*").over(group))
-    clash = left.join(right, ["key", "salt", "rn"]).where("s = p").select("key", "salt").distinct().withColumn("clash", F.lit(1))
-    right = right.join(clash, ["key", "salt"], "left").withColumn("rn", F.when(F.col("clash") == 1, F.pmod(F.col("rn"), F.col("size")) + 1).otherwise(F.col("rn")))
-    return left.join(right, ["key", "salt", "rn"]).where("s <> p").select("s", "p", F.lit(off).alias("off"))
+    off = F.col("off")
+    s = suffixes.select(F.col("read_id").alias("s"), "seq", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("off"))
+    s = s.select("s", "off", F.xxhash64(kmer("seq", off + p.overlap_at, p.overlap_k)).alias("key"), F.xxhash64(F.substring("seq", off + 1, F.lit(p.length))).alias("bases"))
+    index = prefix_index(prefixes, p).select(F.col("read_id").alias("p"), "seq", F.xxhash64("kmer").alias("key"))
+    same = F.xxhash64(F.substring(F.col("seq"), F.lit(1), p.length - off)) == F.col("bases")
+    return unsized(s).join(unsized(index), "key").where((F.col("s") != F.col("p")) & same).select("s", "p", "off")
+
+
+def _key(off: int, p: ReadParams) -> Column:
+    """What an open end (id, side, seq) has to agree in: side 0 is a suffix, side 1 a prefix."""
+    return F.when(F.col("side") == 0, F.substring("seq", off + 1, p.length)).otherwise(F.substring("seq", 1, p.length - off))
+
+
+def open_ends(suffixes: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(id, side, seq, other, off): ends without a link, side 0 of suffixes and 1 of prefixes."""
+    one = lambda reads, side: reads.select(F.col("read_id").alias("id"), F.lit(side).alias("side"), "seq", F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("off"))
+    return one(suffixes, 0).union(one(prefixes, 1))
+
+
+def zip_ends(ends: DataFrame, off: int, p: ReadParams) -> DataFrame:
+    """``ends`` with ``other`` and ``off`` of those that one offset links: the i-th suffix of a key
+    with its i-th prefix.
+
+    Where a read would meet itself, the group's prefixes are shifted by one; ends of a read that
+    still meets itself stay open. One shuffle, by key; linked ends pass through."""
+    is_open = F.col("other").isNull()
+    rows = ends.withColumn("key", F.when(is_open, _key(off, p)).otherwise(F.concat(F.lit("#"), F.col("id"), F.lit(":"), F.col("side"))))
+    group = Window.partitionBy("key")
+    n_s, n_p = F.count_if(F.col("side") == 0).over(group), F.count_if(F.col("side") == 1).over(group)
+    rows = rows.withColumn("n_p", n_p).withColumn("rn", F.row_number().over(group.orderBy("side", "id")) - F.when(F.col("side") == 1, n_s).otherwise(0))
+
+    def partner(rank: str) -> Column:
+        near = group.orderBy(rank, "side")
+        after = F.when(F.lead(rank).over(near) == F.col(rank), F.lead("id").over(near))
+        before = F.when(F.lag(rank).over(near) == F.col(rank), F.lag("id").over(near))
+        return F.when(F.col("side") == 0, after).otherwise(before)
+
+    rows = rows.withColumn("clash", F.coalesce(F.max(partner("rn") == F.col("id")).over(group), F.lit(False)))
+    rows = rows.withColumn("rn", F.when(F.col("clash") & (F.col("side") == 1), F.pmod(F.col("rn"), F.col("n_p")) + 1).otherwise(F.col("rn")))
+    found = partner("rn")
+    rows = rows.withColumn("found", F.when(is_open & (found != F.col("id")), found))
+    return rows.select("id", "side", "seq", F.coalesce("other", "found").alias("other"), F.when(F.col("found").isNotNull(), F.lit(off)).otherwise(F.col("off")).alias("off"))
+
+
+def rank_zip(suffixes: DataFrame, prefixes: DataFrame, off: int, p: ReadParams, width: int = 1_000_000) -> DataFrame:
+    """(s, p, off): what zip_ends links, for keys of so few bases that most reads share one: ranks
+    come from buckets of ``width`` ids, and no key goes through one task."""
+    number = lambda reads, key, name: dense_number(reads.select(key.alias("key"), F.col("read_id").alias(name)), [name], width, ["key"], "rn")
+    left = number(suffixes, F.substring("seq", off + 1, p.length), "s")
+    right = number(prefixes, F.substring("seq", 1, p.length - off), "p")
+    clash = unsized(left).join(right, ["key", "rn"]).where("s = p").select("key").distinct().withColumn("clash", F.lit(True))
+    sizes = right.groupBy("key").agg(F.count("*").alias("size")).join(clash, "key")
+    right = unsized(right).join(sizes, "key", "left").withColumn("rn", F.when(F.col("clash"), F.pmod(F.col("rn") + 1, F.col("size"))).otherwise(F.col("rn")))
+    return unsized(left).join(right.select("key", "rn", "p"), ["key", "rn"]).where("s <> p").select("s", "p", F.lit(off).alias("off"))
 
 
 def plain_rank_zip(suffixes: DataFrame, prefixes: DataFrame, off: int, p: ReadParams) -> DataFrame:
@@ -68,17 +104,17 @@ def plain_rank_zip(suffixes: DataFrame, prefixes: DataFrame, off: int, p: ReadPa
     right = prefixes.select(F.substring("seq", 1, p.length - off).alias("key"), F.col("read_id").alias("p"))
     left = left.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("s")))
     right = right.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("p")))
-    return left.join(right, ["key", "rn"]).where("s <> p").select("s", "p", F.lit(off).alias("off"))
+    return unsized(left).join(right, ["key", "rn"]).where("s <> p").select("s", "p", F.lit(off).alias("off"))
 
 
 def open_prefixes(reads: DataFrame, links: DataFrame) -> DataFrame:
     """Reads without a previous read."""
-    return reads.join(links.select(F.col("p").alias("read_id")), "read_id", "left_anti")
+    return unsized(reads).join(unsized(links.select(F.col("p").alias("read_id"))), "read_id", "left_anti")
 
 
 def open_suffixes(reads: DataFrame, links: DataFrame) -> DataFrame:
     """Reads without a next read."""
-    return reads.join(links.select(F.col("s").alias("read_id")), "read_id", "left_anti")
+    return unsized(reads).join(unsized(links.select(F.col("s").alias("read_id"))), "read_id", "left_anti")
 
 
 def greedy_matching(store: Store, edges: DataFrame) -> DataFrame:
@@ -101,7 +137,7 @@ def read_flags(reads: DataFrame, links: DataFrame) -> DataFrame:
     """(read_id, has_next, has_prev, off_next, off_prev)."""
     nxt = links.select(F.col("s").alias("read_id"), F.col("off").alias("off_next"))
     prv = links.select(F.col("p").alias("read_id"), F.col("off").alias("off_prev"))
-    r = reads.select("read_id").join(nxt, "read_id", "left").join(prv, "read_id", "left")
+    r = unsized(unsized(reads.select("read_id")).join(unsized(nxt), "read_id", "left")).join(unsized(prv), "read_id", "left")
     return r.select("read_id", F.col("off_next").isNotNull().alias("has_next"), F.col("off_prev").isNotNull().alias("has_prev"), "off_next", "off_prev")
 
 
@@ -117,7 +153,8 @@ def split_weak(reads: DataFrame, links: DataFrame) -> DataFrame:
 
 def cut_links(links: DataFrame, weak: DataFrame) -> DataFrame:
     """Links that touch no weak read."""
-    return links.join(weak.select(F.col("read_id").alias("s")), "s", "left_anti").join(weak.select(F.col("read_id").alias("p")), "p", "left_anti").select("s", "p", "off")
+    weak_s, weak_p = (unsized(weak.select(F.col("read_id").alias(end))) for end in "sp")
+    return links.join(weak_s, "s", "left_anti").join(weak_p, "p", "left_anti").select("s", "p", "off")
 
 
 def seeded_links(store: Store, reads: DataFrame, p: ReadParams, links: DataFrame | None = None) -> DataFrame:
@@ -129,18 +166,30 @@ def seeded_links(store: Store, reads: DataFrame, p: ReadParams, links: DataFrame
 
 
 def short_overlap_links(store: Store, reads: DataFrame, links: DataFrame, p: ReadParams, least: int = 1) -> DataFrame:
-    """Links by overlaps of ever fewer bases, down to ``least``, between ends still open."""
-    open_s, open_p = store.save(open_suffixes(reads, links).select("read_id", "seq")), store.save(open_prefixes(reads, links).select("read_id", "seq"))
-    found = [links]
+    """Links by overlaps of ever fewer bases, down to ``least``, between ends still open.
+
+    Offsets follow each other within one job, ``STEPS`` at a time; overlaps of less than ``FEW``
+    bases, whose keys are shared by most reads, take a job each."""
+    found, steps = [links], []
+    ends = store.save(open_ends(open_suffixes(reads, links), open_prefixes(reads, links)))
     for off in range(max(1, p.max_offset), p.length - least + 1):
-        short = p.length - off
-        won = store.save(rank_zip(open_s, open_p, off, p, salts=64 if short < 8 else 1))
-        if won.isEmpty():
-            continue
-        found.append(won)
-        open_s, open_p = store.save(open_suffixes(open_s, won)), store.save(open_prefixes(open_p, won))
-        if open_s.isEmpty() or open_p.isEmpty():
+        if not steps and (ends.where("side = 0").isEmpty() or ends.where("side = 1").isEmpty()):
             break
+        if p.length - off >= FEW:
+            steps.append(off)
+            if len(steps) < STEPS and FEW <= p.length - off - 1 >= least:
+                continue
+            zipped = ends
+            for step in steps:
+                zipped = zip_ends(zipped, step, p)
+            zipped, steps = store.save(zipped), []
+            found.append(zipped.where("side = 0 AND other IS NOT NULL").select(F.col("id").alias("s"), F.col("other").alias("p"), "off"))
+            ends = zipped.where("other IS NULL")
+        else:
+            one = lambda side: ends.where(F.col("side") == side).select(F.col("id").alias("read_id"), "seq")
+            won = store.save(rank_zip(one(0), one(1), off, p))
+            found.append(won)
+            ends = store.save(open_ends(open_suffixes(one(0), won), open_prefixes(one(1), won)))
     return store.save(union_all(found))
 
 

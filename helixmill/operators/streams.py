@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixmill.functions.sequence import mismatches, reverse_complement
-from helixmill.operators.ordering import running_sum
+from helixmill.operators.ordering import previous, running_sum
 
 BASES = ("A", "C", "G", "T")
+STRETCH = 1 << 16  # positions, or rows, that one task orders
 
 
 # mismatches -----------------------------------------------------------------
@@ -84,20 +90,19 @@ def group_ordinal(df: DataFrame, width: int = 1_000_000) -> DataFrame:
 
 def position_delta(df: DataFrame, by: str) -> DataFrame:
     """Distance to the previous read in (pos, read_id) order, 0 for the first."""
-    w = Window.partitionBy(by).orderBy("pos", "read_id")
-    return df.withColumn("delta", F.col("pos") - F.lag("pos", 1).over(w)).withColumn("delta", F.coalesce("delta", F.lit(0)).cast("long"))
+    rows = previous(df, "pos", ["pos", "read_id"], STRETCH, [by], "__before")
+    return rows.withColumn("delta", F.coalesce(F.col("pos") - F.col("__before"), F.lit(0)).cast("long")).drop("__before")
 
 
 def position_overlap(df: DataFrame, by: str, length: int) -> DataFrame:
     """Bases shared with the previous read; the first one is measured from 0."""
-    w = Window.partitionBy(by).orderBy("pos", "read_id")
-    return df.withColumn("overlap", (length - (F.col("pos") - F.coalesce(F.lag("pos", 1).over(w), F.lit(0)))).cast("long"))
+    rows = previous(df, "pos", ["pos", "read_id"], STRETCH, [by], "__before")
+    return rows.withColumn("overlap", (length - (F.col("pos") - F.coalesce("__before", F.lit(0)))).cast("long")).drop("__before")
 
 
 def positions_from_overlap(df: DataFrame, by: str, length: int) -> DataFrame:
     """The inverse of position_overlap: rows carry ``ord``, their number in the stream."""
-    w = Window.partitionBy(by).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("restored", F.sum(length - F.col("overlap")).over(w).cast("long"))
+    return running_sum(df, length - F.col("overlap"), ["ord"], STRETCH, [by], "restored")
 
 
 def joined_coordinate(parts: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -123,42 +128,75 @@ def mate_positions(placed: DataFrame) -> DataFrame:
     return placed.groupBy("pair_id").agg(F.max(F.when(F.col("mate") == 0, F.col("pos"))).alias("base"), F.max(F.when(F.col("mate") == 1, F.col("pos"))).alias("other"))
 
 
+def _folded(df: DataFrame, by: str, more: list[tuple[str, str]], step) -> DataFrame:
+    """``df`` with the columns ``more``, made by a fold in order of ``ord`` over the rows of each value
+    of ``by``: ``step(batch, state)`` gives the new columns of rows of one value, and the state after
+    them. Rows stream past in Arrow batches; one state is held at a time."""
+    types = {"long": T.LongType(), "string": T.StringType()}
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, types[t]) for n, t in more)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), None
+        for b in batches:
+            keys = b.column(b.schema.get_field_index(by)).to_pylist()
+            cut = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]] + [len(keys)]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                if keys[lo] != key:
+                    key, state = keys[lo], (0, 0, False)
+                part = b.slice(lo, hi - lo)
+                columns, state = step(part, state)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, arrow.field(n).type) for c, (n, _) in zip(columns, more))], schema=arrow)
+
+    return df.repartition(by).sortWithinPartitions(by, "ord").mapInArrow(run, schema)
+
+
+def _column(b: pa.RecordBatch, name: str) -> list:
+    return b.column(b.schema.get_field_index(name)).to_pylist()
+
+
 def predict(items: DataFrame, by: str, small: int, lo: int, hi: int) -> DataFrame:
     """Distances as class ``near`` (up to ``small``), ``delta`` (difference from a predictor within
     lo..hi) or ``far``; ``items`` holds (by, ord, dist) and what else is to be kept.
 
     The predictor starts at 0 and moves to a distance that hits; after a miss it moves too, unless
     the item before the miss had hit and left the predictor at its own distance. Near items do not
-    take part. The fold runs per value of ``by``, a block of bounded size."""
-    far = items.where(F.col("dist") > small)
-    each = far.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "dist"))).alias("xs"))
-    row = "struct<ord:bigint,delta:bigint,hit:boolean>"
-    start = F.struct(F.lit(0).cast("long").alias("ref"), F.lit(0).cast("long").alias("prev"), F.lit(False).alias("match"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(acc, x):
-        delta = x["dist"] - acc["ref"]
-        hit = (delta >= lo) & (delta <= hi)
-        ref = F.when(hit | ~acc["match"] | (acc["ref"] != acc["prev"]), x["dist"]).otherwise(acc["ref"])
-        return F.struct(ref.cast("long").alias("ref"), x["dist"].cast("long").alias("prev"), hit.alias("match"), F.concat(acc["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), delta.cast("long").alias("delta"), hit.alias("hit")))).alias("out"))
-
-    coded = each.select(by, F.explode(F.aggregate("xs", start, step)["out"]).alias("c")).select(by, F.col("c.ord").alias("ord"), F.col("c.delta").alias("delta"), F.col("c.hit").alias("hit"))
-    out = items.join(coded, [by, "ord"], "left")
-    kind = F.when(F.col("dist") <= small, "near").when(F.col("hit"), "delta").otherwise("far")
-    return out.withColumn("kind", kind).withColumn("value", F.when(kind == "delta", F.col("delta")).otherwise(F.col("dist")).cast("long")).drop("delta", "hit")
+    take part. The fold runs along each value of ``by``, a block."""
+
+    def step(b: pa.RecordBatch, state: tuple) -> tuple:
+        ref, prev, match = state
+        kinds, values = [], []
+        for d in _column(b, "dist"):
+            kind, value = "near", d
+            if d > small:
+                delta = d - ref
+                hit = lo <= delta <= hi
+                kind, value = ("delta", delta) if hit else ("far", d)
+                if hit or not match or ref != prev:
+                    ref = d
+                prev, match = d, hit
+            kinds.append(kind)
+            values.append(value)
+        return (kinds, values), (ref, prev, match)
+
+    return _folded(items, by, [("kind", "string"), ("value", "long")], step)
 
 
 def unpredict(coded: DataFrame, by: str) -> DataFrame:
     """The inverse: ``restored`` distances from (by, ord, kind, value)."""
-    far = coded.where("kind <> 'near'")
-    each = far.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "value"))).alias("xs"))
-    row = "struct<ord:bigint,dist:bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("ref"), F.lit(0).cast("long").alias("prev"), F.lit(False).alias("match"), F.array().cast(f"array<{row}>").alias("out"))
-
-    def step(acc, x):
-        hit = x["kind"] == "delta"
-        dist = F.when(hit, acc["ref"] + x["value"]).otherwise(x["value"])
-        ref = F.when(hit | ~acc["match"] | (acc["ref"] != acc["prev"]), dist).otherwise(acc["ref"])
-        return F.struct(ref.cast("long").alias("ref"), dist.cast("long").alias("prev"), hit.alias("match"), F.concat(acc["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), dist.cast("long").alias("dist")))).alias("out"))
-
-    found = each.select(by, F.explode(F.aggregate("xs", start, step)["out"]).alias("c")).select(by, F.col("c.ord").alias("ord"), F.col("c.dist").alias("__dist"))
-    return coded.join(found, [by, "ord"], "left").withColumn("restored", F.coalesce("__dist", "value")).drop("__dist")
+
+    def step(b: pa.RecordBatch, state: tuple) -> tuple:
+        ref, prev, match = state
+        out = []
+        for kind, value in zip(_column(b, "kind"), _column(b, "value")):
+            d = value
+            if kind != "near":
+                hit = kind == "delta"
+                d = ref + value if hit else value
+                if hit or not match or ref != prev:
+                    ref = d
+                prev, match = d, hit
+            out.append(d)
+        return (out,), (ref, prev, match)
+
+    return _folded(coded, by, [("restored", "long")], step)

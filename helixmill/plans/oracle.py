@@ -37,8 +37,8 @@ _placed = f"WITH {ALIGN} "
 
 COPIES = "copies AS (SELECT s, p, 0 AS off FROM (SELECT read_id AS s, lead(read_id) OVER (PARTITION BY seq ORDER BY read_id) AS p FROM {}) WHERE p IS NOT NULL)"
 LINKS = f"""{CLEAN}, {COPIES.format('clean')},
-suf AS (SELECT read_id, substr(seq, {OFF + 1}) AS key, row_number() OVER (PARTITION BY substr(seq, {OFF + 1}) ORDER BY read_id) AS rn FROM clean WHERE read_id NOT IN (SELECT s FROM copies)),
-pre AS (SELECT read_id, substr(seq, 1, {L - OFF}) AS key, row_number() OVER (PARTITION BY substr(seq, 1, {L - OFF}) ORDER BY read_id) AS rn FROM clean WHERE read_id NOT IN (SELECT p FROM copies)),
+suf AS (SELECT read_id, substr(seq, {OFF + 1}) AS key, row_number() OVER (PARTITION BY substr(seq, {OFF + 1}) ORDER BY read_id) AS rn FROM clean ANTI JOIN (SELECT s AS read_id FROM copies) USING (read_id)),
+pre AS (SELECT read_id, substr(seq, 1, {L - OFF}) AS key, row_number() OVER (PARTITION BY substr(seq, 1, {L - OFF}) ORDER BY read_id) AS rn FROM clean ANTI JOIN (SELECT p AS read_id FROM copies) USING (read_id)),
 links AS (SELECT * FROM copies UNION ALL SELECT suf.read_id, pre.read_id, {OFF} FROM suf JOIN pre ON suf.key = pre.key AND suf.rn = pre.rn WHERE suf.read_id <> pre.read_id),
 flags AS (SELECT clean.read_id AS read_id, n.off AS off_next, v.off AS off_prev FROM clean LEFT JOIN links n ON n.s = clean.read_id LEFT JOIN links v ON v.p = clean.read_id),
 strong AS (SELECT read_id, coalesce((off_next IS NOT NULL AND off_prev IS NOT NULL) OR (off_next = 0) OR (off_prev = 0), false) AS is_reference FROM flags)"""
@@ -61,6 +61,53 @@ PALINDROMES = f"{REFS}, pal AS (SELECT ref_id, substr(dna, 1, 300) || 'ACCA' ||
 STRANDED = f"{READS}, ch AS (SELECT read_id, CASE WHEN read_id % 11 = 0 THEN substr(seq, 1, CAST((read_id * 7) % {L} AS INTEGER)) || translate(substr(seq, CAST((read_id * 7) % {L} + 1 AS INTEGER), 1), 'ACGTN', 'CGTAN') || substr(seq, CAST((read_id * 7) % {L} + 2 AS INTEGER)) ELSE seq END AS seq FROM reads), strd AS (SELECT read_id, CASE WHEN read_id % 3 = 0 THEN {RC.format('seq')} ELSE seq END AS seq FROM ch)"
 
 
+def _seeds(src: str, dest: str, each: bool) -> str:
+    """CTEs idx, dst and seeds: seeds of the strings ``dest`` (ref_id, rc) in the strings ``src`` (ref_id, dna)."""
+    per, same = ("ref_id, kmer ORDER BY \"at\"", "AND dst.ref_id = idx.ref_id") if each else ("kmer ORDER BY ref_id, \"at\"", "")
+    return f"""idx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {per}) AS rn FROM (SELECT ref_id, CAST("at" AS INTEGER) AS "at", substr(dna, CAST("at" + 1 AS INTEGER), {P.match_k}) AS kmer FROM (SELECT ref_id, dna, unnest(range(0, length(dna) - {P.match_k} + 1, {P.match_src_step})) AS "at" FROM {src})) WHERE NOT contains(kmer, 'N')) WHERE rn <= {P.bucket}),
+dst AS (SELECT ref_id, CAST("at" AS INTEGER) AS "at", substr(rc, CAST("at" + 1 AS INTEGER), {P.match_k}) AS kmer FROM (SELECT ref_id, rc, unnest(range(0, length(rc) - {P.match_k} + 1, {P.match_dest_step})) AS "at" FROM {dest})),
+seeds AS (SELECT dst.ref_id AS dest_id, dst."at" AS at_dest, idx.ref_id AS src_id, idx."at" AS at_src FROM dst JOIN idx ON dst.kmer = idx.kmer {same})"""
+
+
+def _maximal(src: str, dest: str) -> str:
+    """CTE maximal: the first of the seeds that overlap on a diagonal, as far as bases agree, by halving
+    steps to the right and to the left."""
+    first = f"one AS MATERIALIZED (SELECT dest_id, src_id, at_dest, at_src FROM (SELECT *, lag(at_dest) OVER (PARTITION BY dest_id, src_id, at_src - at_dest ORDER BY at_dest) AS before FROM seeds) WHERE before IS NULL OR at_dest - before > {P.match_k})"
+    step = "e0 AS (SELECT dest_id, src_id, at_dest, at_src, s.dna AS a, d.rc AS b, least(length(s.dna) - at_src, length(d.rc) - at_dest) - {k} AS room_r, least(at_src, at_dest) AS room_l, 0 AS r, 0 AS l FROM one JOIN {src} s ON s.ref_id = src_id JOIN {dest} d ON d.ref_id = dest_id)".format(k=P.match_k, src=src, dest=dest)
+    out = [first, step]
+    steps = range(17, -1, -1)
+    for i, k in enumerate(steps):
+        n = 1 << k
+        right = f"CASE WHEN room_r - r >= {n} AND substr(a, CAST(at_src + {P.match_k + 1} + r AS INTEGER), {n}) = substr(b, CAST(at_dest + {P.match_k + 1} + r AS INTEGER), {n}) THEN {n} ELSE 0 END"
+        left = f"CASE WHEN room_l - l >= {n} AND substr(a, CAST(at_src + 1 - l - {n} AS INTEGER), {n}) = substr(b, CAST(at_dest + 1 - l - {n} AS INTEGER), {n}) THEN {n} ELSE 0 END"
+        out.append(f"e{i + 1} AS (SELECT dest_id, src_id, at_dest, at_src, a, b, room_r, room_l, r + {right} AS r, l + {left} AS l FROM e{i})")
+    last = len(steps)
+    out.append(f"maximal AS (SELECT DISTINCT dest_id, src_id, CAST(at_dest - l AS INTEGER) AS pos_dest, CAST(at_src - l AS INTEGER) AS pos_src, CAST({P.match_k} + l + r AS INTEGER) AS len FROM e{last} WHERE {P.match_k} + l + r >= {P.match_min})")
+    return ", ".join(out)
+
+
+SELF = f"{PALINDROMES}, rcs AS (SELECT ref_id, {RC.format('dna')} AS rc FROM pal), {_seeds('pal', 'rcs', True)}"
+CROSS = f"""{REFS}, even AS (SELECT * FROM refs WHERE ref_id % 2 = 0),
+odd AS (SELECT ref_id, CASE WHEN ref_id % 4 = 1 THEN dna ELSE {RC.format('dna')} END AS rc FROM refs WHERE ref_id % 2 = 1), {_seeds('even', 'odd', False)}, {_maximal('even', 'odd')}"""
+CANONICAL = f"""{SELF}, {_maximal('pal', 'rcs')}, own AS (SELECT dest_id AS ref_id, least(pos_src, length(dna) - pos_dest - len) AS ps, greatest(pos_src, length(dna) - pos_dest - len) AS pd, len FROM maximal JOIN pal ON pal.ref_id = dest_id),
+trimmed AS (SELECT ref_id, ps, pd, len, greatest(0, ps + len - pd + 1) // 2 AS margin FROM own),
+canon AS (SELECT DISTINCT ref_id, CAST(ps AS INTEGER) AS pos_src, CAST(pd + margin AS INTEGER) AS pos_dest, CAST(len - margin AS INTEGER) AS len FROM trimmed WHERE len - margin >= {P.match_min})"""
+COVER = f"""{CANONICAL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY pos_dest, pos_src, len) AS i FROM canon),
+fold AS (SELECT DISTINCT ref_id, 0::BIGINT AS i, 0 AS reach, 0 AS pos_src, 0 AS pos_dest, 0 AS len FROM ranked UNION ALL
+  SELECT fold.ref_id, ranked.i, CASE WHEN ranked.len - greatest(0, reach - ranked.pos_dest) >= {P.match_min} THEN ranked.pos_dest + ranked.len ELSE reach END, ranked.pos_src, ranked.pos_dest + greatest(0, reach - ranked.pos_dest), ranked.len - greatest(0, reach - ranked.pos_dest)
+  FROM fold JOIN ranked ON ranked.ref_id = fold.ref_id AND ranked.i = fold.i + 1),
+cover AS (SELECT ref_id, CAST(pos_src AS INTEGER) AS pos_src, CAST(pos_dest AS INTEGER) AS pos_dest, CAST(len AS INTEGER) AS len FROM fold WHERE len >= {P.match_min})"""
+
+
+def _rotated(off: int) -> str:
+    """CTE z{off}: links of one offset among the N-free reads, groups shifted in which a read meets itself."""
+    return f"""s{off} AS (SELECT read_id AS s, substr(seq, {off + 1}) AS key, row_number() OVER (PARTITION BY substr(seq, {off + 1}) ORDER BY read_id) AS rn FROM clean),
+        p{off} AS (SELECT read_id AS p, substr(seq, 1, {L - off}) AS key, row_number() OVER (PARTITION BY substr(seq, 1, {L - off}) ORDER BY read_id) AS rn, count(*) OVER (PARTITION BY substr(seq, 1, {L - off})) AS n FROM clean),
+        c{off} AS (SELECT DISTINCT s{off}.key AS key FROM s{off} JOIN p{off} ON s{off}.key = p{off}.key AND s{off}.rn = p{off}.rn WHERE s = p),
+        r{off} AS (SELECT p, p{off}.key AS key, CASE WHEN c{off}.key IS NULL THEN rn ELSE rn % n + 1 END AS rn FROM p{off} LEFT JOIN c{off} ON c{off}.key = p{off}.key),
+        z{off} AS (SELECT s, p, {off} AS off FROM s{off} JOIN r{off} ON s{off}.key = r{off}.key AND s{off}.rn = r{off}.rn WHERE s <> p)"""
+
+
 def _zero(*names: str) -> str:
     return "SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in names)
 
@@ -72,6 +119,7 @@ SQL = {
     "reads_scan": f"WITH {READS} SELECT read_id, 0 AS mate, seq, contains(seq, 'N') AS has_n FROM reads",
     "reads_paired": f"WITH {PAIRS} SELECT read_id, pair_id, mate, seq FROM prs",
     "fastq_scan": f"WITH {READS} SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, seq, contains(seq, 'N') AS has_n FROM reads",
+    "fastq_paired": f"WITH {PAIRS}, d AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS number FROM prs WHERE mate = 0) SELECT 2 * number + mate AS read_id, number AS pair_id, mate, seq FROM prs JOIN d ON d.pair_id = prs.pair_id",
     "block_partition": f"WITH {READS}, n AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS number FROM reads) SELECT number // {BLOCK} AS block_id, count(*) AS n, min(read_id) AS first_read, max(read_id) AS last_read FROM n GROUP BY number // {BLOCK}",
     "length_assert": f"WITH {READS} SELECT count(*) AS n, count(*) FILTER (length(seq) <> {L} OR translate(seq, 'ACGTN', '') <> '') AS bad, count(*) FILTER (contains(seq, 'N')) AS with_n FROM reads",
     "base_encode": f"WITH {READS} SELECT read_id, translate(seq, 'ACGTN', '01230') AS codes, translate(seq, 'ACGTN', 'TGCAN') AS complement FROM reads",
@@ -96,21 +144,28 @@ SQL = {
     "overlap_rankzip": f"""WITH {CLEAN}, suf AS (SELECT read_id, substr(seq, {OFF + 1}) AS key, row_number() OVER (PARTITION BY substr(seq, {OFF + 1}) ORDER BY read_id) AS rn FROM clean),
         pre AS (SELECT read_id, substr(seq, 1, {L - OFF}) AS key, row_number() OVER (PARTITION BY substr(seq, 1, {L - OFF}) ORDER BY read_id) AS rn FROM clean)
         SELECT suf.read_id AS s, pre.read_id AS p, {OFF} AS off FROM suf JOIN pre ON suf.key = pre.key AND suf.rn = pre.rn WHERE suf.read_id <> pre.read_id""",
-    "available_prefix": f"WITH {LINKS} SELECT read_id FROM clean WHERE read_id NOT IN (SELECT p FROM links)",
-    "available_suffix": f"WITH {LINKS} SELECT read_id FROM clean WHERE read_id NOT IN (SELECT s FROM links)",
+    "overlap_rotation": f"WITH {CLEAN}, " + ", ".join(_rotated(off) for off in (70, 85, L - 1)) + " SELECT * FROM z70 UNION ALL SELECT * FROM z85 UNION ALL SELECT * FROM " + f"z{L - 1}",
+    "available_prefix": f"WITH {LINKS} SELECT read_id FROM clean ANTI JOIN (SELECT p AS read_id FROM links) USING (read_id)",
+    "available_suffix": f"WITH {LINKS} SELECT read_id FROM clean ANTI JOIN (SELECT s AS read_id FROM links) USING (read_id)",
     "link_counts": f"WITH {LINKS} SELECT count(*) AS n, count(off_next) AS linked, count(*) - count(off_next) AS open_suffixes, count(*) - count(off_prev) AS open_prefixes FROM flags",
     "weak_reads": f"WITH {LINKS} SELECT read_id, is_reference FROM strong",
-    "ref_reads": f"WITH {LINKS} SELECT s, p, off FROM links WHERE s NOT IN (SELECT read_id FROM strong WHERE NOT is_reference) AND p NOT IN (SELECT read_id FROM strong WHERE NOT is_reference)",
+    "ref_reads": f"WITH {LINKS}, kept AS (SELECT read_id FROM strong WHERE is_reference) SELECT s, p, off FROM links SEMI JOIN kept a ON s = a.read_id SEMI JOIN kept b ON p = b.read_id",
     "overlap_greedy": _zero("false_links", "self_links", "repeated_next", "repeated_prev", "edges_left"),
-    "contigs": _zero("misread", "unplaced", "bases_off"),
-    "lq_contigs": _zero("misread", "unplaced", "bases_off"),
-    "n_contigs": _zero("misread", "unplaced", "bases_off"),
-    "cycle_cut": _zero("uncut", "on_cycles", "unplaced"),
+    "contigs": _zero("misread", "unplaced", "bases_off", "still_open"),
+    "lq_contigs": f"WITH {CLEAN} {_zero('misread', 'unplaced', 'bases_off', 'still_open')}, count(*) AS reads FROM clean",
+    "n_contigs": f"WITH {READS} {_zero('misread', 'unplaced', 'bases_off', 'still_open')}, count(*) AS reads FROM reads WHERE contains(seq, 'N')",
+    "cycle_cut": f"""WITH RECURSIVE {LINKS}, linked AS MATERIALIZED (SELECT * FROM links),
+        reached AS (SELECT read_id FROM clean ANTI JOIN (SELECT p AS read_id FROM linked) USING (read_id) UNION ALL SELECT linked.p FROM reached JOIN linked ON linked.s = reached.read_id),
+        ring AS MATERIALIZED (SELECT s, p, off FROM linked ANTI JOIN reached ON reached.read_id = linked.s),
+        walk AS (SELECT s AS start, s, p, off FROM ring UNION ALL SELECT walk.start, ring.s, ring.p, ring.off FROM walk JOIN ring ON ring.s = walk.p WHERE walk.p <> walk.start),
+        member AS (SELECT start, min(s) AS label FROM walk GROUP BY start),
+        cuts AS (SELECT label, arg_min(s, (-off, s)) AS s FROM ring JOIN member ON member.start = ring.s GROUP BY label)
+        SELECT (SELECT count(DISTINCT label) FROM member) AS cycles, (SELECT count(*) FROM ring) AS reads, (SELECT count(*) FROM cuts) AS cuts, CAST(coalesce((SELECT sum(s) FROM cuts), 0) AS BIGINT) AS cut_after, 0::BIGINT AS on_cycles, 0::BIGINT AS unplaced""",
     "contig_placement": f"WITH {REPS} SELECT read_id AS contig_id, CAST({L} AS BIGINT) AS length, {L} * (row_number() OVER (ORDER BY read_id) - 1) AS base FROM reps",
     "seed_index_capped": f'WITH {REFS}, {INDEX} SELECT kmer, ref_id, "at" FROM idx',
     "seed_hits": f"WITH {HITS} SELECT read_id, CAST(strand AS INTEGER) AS strand, count(*) AS hits, CAST(min(pos) AS BIGINT) AS least_pos FROM hits GROUP BY read_id, strand",
     "map_best": f"WITH {BEST} SELECT read_id, strand, ref_id, pos, mm FROM best",
-    "map_unmapped": f"WITH {BEST} SELECT read_id FROM q WHERE read_id NOT IN (SELECT read_id FROM best)",
+    "map_unmapped": f"WITH {BEST} SELECT read_id FROM q ANTI JOIN best USING (read_id)",
     "mm_hist": f"WITH {BEST} SELECT mm, strand, count(*) AS n FROM best GROUP BY mm, strand",
     "mm_extract": f"WITH {MM} SELECT read_id, ord, off, ref_base, read_base FROM mm",
     "mm_context_counts": f"WITH {MM} SELECT ref_base, read_base, count(*) AS n FROM mm GROUP BY ref_base, read_base",
@@ -140,13 +195,12 @@ SQL = {
         SELECT kind, n FROM (SELECT 'near' AS kind, count(*) AS n FROM items WHERE dist <= 65535 UNION ALL SELECT CASE WHEN hit THEN 'delta' ELSE 'far' END, count(*) FROM st WHERE i > 0 GROUP BY hit)""".replace("st AS (SELECT block_id, 0::BIGINT", "st AS (SELECT DISTINCT block_id, 0::BIGINT").replace("false AS hit UNION ALL", "false AS hit FROM far UNION ALL"),
     "pe_pos_roundtrip": f"WITH {ITEMS} SELECT pair_id, dist FROM items",
     "pe_order_roundtrip": f"WITH {ITEMS} SELECT pair_id, dist FROM items",
-    "selfmatch_seeds": f"""WITH {PALINDROMES}, idx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY ref_id, "at") AS rn FROM (SELECT ref_id, CAST("at" AS INTEGER) AS "at", substr(dna, CAST("at" + 1 AS INTEGER), {P.match_k}) AS kmer FROM (SELECT ref_id, dna, unnest(range(0, length(dna) - {P.match_k} + 1, {P.match_src_step})) AS "at" FROM pal)) WHERE NOT contains(kmer, 'N')) WHERE rn <= {P.bucket}),
-        dst AS (SELECT ref_id, CAST("at" AS INTEGER) AS "at", substr(rc, CAST("at" + 1 AS INTEGER), {P.match_k}) AS kmer FROM (SELECT ref_id, rc, unnest(range(0, length(rc) - {P.match_k} + 1, {P.match_dest_step})) AS "at" FROM (SELECT ref_id, {RC.format('dna')} AS rc FROM pal)))
-        SELECT dst.ref_id AS dest_id, dst."at" AS at_dest, idx.ref_id AS src_id, idx."at" AS at_src FROM dst JOIN idx ON dst.kmer = idx.kmer AND dst.ref_id = idx.ref_id""",
-    "selfmatch_maximal": _zero("unequal", "extensible", "short"),
-    "selfmatch_canonical": _zero("overlapping", "short", "unequal"),
-    "interval_cover": _zero("overlapping", "short"),
-    "hole_text": f"WITH {PALINDROMES} SELECT ref_id, CAST(length(dna) AS INTEGER) AS size FROM pal",
+    "selfmatch_seeds": f"WITH {SELF} SELECT dest_id, at_dest, src_id, at_src FROM seeds",
+    "selfmatch_maximal": f"WITH {SELF}, {_maximal('pal', 'rcs')} SELECT dest_id, src_id, pos_dest, pos_src, len FROM maximal",
+    "crossmatch_maximal": f"WITH {CROSS} SELECT dest_id, src_id, pos_dest, pos_src, len FROM maximal",
+    "selfmatch_canonical": f"WITH {CANONICAL} SELECT ref_id, pos_src, pos_dest, len FROM canon",
+    "interval_cover": f"WITH RECURSIVE {COVER} SELECT ref_id, pos_src, pos_dest, len FROM cover",
+    "hole_text": f"WITH RECURSIVE {COVER}, h AS (SELECT ref_id, count(*) AS holes, sum(len) AS gone FROM cover GROUP BY ref_id) SELECT pal.ref_id AS ref_id, CAST(length(dna) AS INTEGER) AS size, CAST(coalesce(holes, 0) AS INTEGER) AS holes, CAST(length(dna) - coalesce(gone, 0) + coalesce(holes, 0) AS INTEGER) AS left_over FROM pal LEFT JOIN h ON h.ref_id = pal.ref_id",
     "ref_recover": f"WITH {PALINDROMES} SELECT ref_id, dna FROM pal",
     "roundtrip_default": f"WITH {STRANDED} SELECT seq, count(*) AS n FROM strd GROUP BY seq",
     "roundtrip_preserve": f"WITH {STRANDED} SELECT read_id, seq FROM strd",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.functions import sequence as S
@@ -51,6 +51,16 @@ def fastq_scan(spark, sf_dir):
     return check_reads(back, infer_params(back)).select("read_id", "seq", "has_n")
 
 
+def fastq_paired(spark, sf_dir):
+    """Mates written as two FASTQ files, read back in lock step."""
+    from helixmill.sources.fastq import read_paired, write_fastq
+
+    base = Store(spark, "fastq").base
+    for mate in (0, 1):
+        write_fastq(derived.pairs(spark, sf_dir).where(F.col("mate") == mate), f"{base}/reads_{mate + 1}.fastq")
+    return read_paired(spark, f"{base}/reads_1.fastq", f"{base}/reads_2.fastq").select("read_id", "pair_id", "mate", "seq")
+
+
 def block_partition(spark, sf_dir):
     numbered = dense_number(_reads(spark, sf_dir), ["read_id"], WIDTH)
     return numbered.groupBy(F.floor(F.col("number") / BLOCK).cast("long").alias("block_id")).agg(F.count("*").alias("n"), F.min("read_id").alias("first_read"), F.max("read_id").alias("last_read"))
@@ -150,6 +160,15 @@ def overlap_rankzip(spark, sf_dir):
     return O.plain_rank_zip(r, r, OFF, P)
 
 
+def overlap_rotation(spark, sf_dir):
+    """Rank-zip where a group in which a read would meet itself is shifted by one: long, short and
+    single-base overlaps."""
+    r = _clean(spark, sf_dir)
+    ends = O.open_ends(r, r)
+    linked = lambda off: O.zip_ends(ends, off, P).where("side = 0 AND other IS NOT NULL").select(F.col("id").alias("s"), F.col("other").alias("p"), "off")
+    return union_all([linked(70), linked(85), O.rank_zip(r, r, P.length - 1, P, WIDTH)])
+
+
 def available_prefix(spark, sf_dir):
     r, links = _copies_and_zip(spark, sf_dir)
     return O.open_prefixes(r, links).select("read_id")
@@ -205,7 +224,7 @@ def _least_read_set(spark, sf_dir, has_n):
     return r.select("read_id", "seq")
 
 
-def _assembled(spark, sf_dir, has_n=False, weak_cut=True, least=30):
+def _assembled(spark, sf_dir, has_n=False, weak_cut=True, least=1):
     store = Store(spark, "assembly")
     r = store.save(_least_read_set(spark, sf_dir, has_n))
     links, kept = O.overlap_reads(store, r, P, weak_cut, least)
@@ -215,6 +234,14 @@ def _assembled(spark, sf_dir, has_n=False, weak_cut=True, least=30):
     return r, kept, before, links, placed, cut, text
 
 
+def _still_open(kept, links):
+    """Bases that some open suffix ends with and another read's open prefix begins with."""
+    one = lambda reads, base, n: reads.groupBy(base.alias("base")).agg(F.count("*").alias(f"n_{n}"), F.min("read_id").alias(n))
+    s = one(O.open_suffixes(kept, links), F.substring("seq", P.length, 1), "s")
+    p = one(O.open_prefixes(kept, links), F.substring("seq", 1, 1), "p")
+    return s.join(p, "base").agg(F.count_if((F.col("n_s") > 1) | (F.col("n_p") > 1) | (F.col("s") != F.col("p"))).alias("still_open"))
+
+
 def _assembly_checks(parts):
     r, kept, before, links, placed, cut, text = parts
     windows = A.read_windows(text, placed, P).join(kept, "read_id")
@@ -222,22 +249,26 @@ def _assembly_checks(parts):
     sizes = placed.groupBy("head").agg(F.max("dist").alias("d")).agg(F.sum(F.col("d") + P.length).alias("want"))
     have = text.agg(F.sum(F.length("text")).alias("have"))
     n = kept.agg(F.count("*").alias("n"))
-    rows = wrong.crossJoin(sizes).crossJoin(have).crossJoin(n)  # one row each
-    return rows.select(F.col("misread").cast("long").alias("misread"), (F.col("found") - F.col("n")).cast("long").alias("unplaced"), (F.coalesce("want", F.lit(0)) - F.coalesce("have", F.lit(0))).cast("long").alias("bases_off"))
+    rows = wrong.crossJoin(sizes).crossJoin(have).crossJoin(n).crossJoin(_still_open(kept, before))  # one row each
+    return rows.select(
+        F.col("misread").cast("long").alias("misread"), (F.col("found") - F.col("n")).cast("long").alias("unplaced"),
+        (F.coalesce("want", F.lit(0)) - F.coalesce("have", F.lit(0))).cast("long").alias("bases_off"), "still_open", F.col("n").alias("reads"),
+    )
 
 
 def contigs(spark, sf_dir):
-    """Contigs of the N-free reads: every kept read stands in its contig, text is as long as the chains."""
-    return _assembly_checks(_assembled(spark, sf_dir))
+    """Contigs of the N-free reads: every kept read stands in its contig, text is as long as the
+    chains, no two ends that overlap by a base are open. Which reads are kept is weak_reads' matter."""
+    return _assembly_checks(_assembled(spark, sf_dir)).drop("reads")
 
 
 def lq_contigs(spark, sf_dir):
-    """N-free reads without the weak-read cut, as for those that did not map."""
-    return _assembly_checks(_assembled(spark, sf_dir, weak_cut=False, least=50))
+    """N-free reads without the weak-read cut, as for those that did not map: all of them are placed."""
+    return _assembly_checks(_assembled(spark, sf_dir, weak_cut=False))
 
 
 def n_contigs(spark, sf_dir):
-    return _assembly_checks(_assembled(spark, sf_dir, has_n=True, weak_cut=False, least=50))
+    return _assembly_checks(_assembled(spark, sf_dir, has_n=True, weak_cut=False))
 
 
 def cycle_cut(spark, sf_dir):
@@ -249,9 +280,10 @@ def cycle_cut(spark, sf_dir):
     cyclic = store.save(A.chain_heads(store, r, links)[1])
     after, placed, cut = A.cut_cycles(store, r, links)
     _, left = A.chain_heads(store, r, after)
-    n_cycles = cyclic.agg(F.countDistinct("label").alias("cycles"))
-    rows = n_cycles.crossJoin(cut.agg(F.count("*").alias("cuts"))).crossJoin(left.agg(F.count("*").alias("left"))).crossJoin(placed.agg(F.count("*").alias("placed"))).crossJoin(r.agg(F.count("*").alias("n")))  # one row each
-    return rows.select((F.col("cycles") - F.col("cuts")).alias("uncut"), F.col("left").alias("on_cycles"), (F.col("n") - F.col("placed")).alias("unplaced"))
+    of_cycles = cyclic.agg(F.countDistinct("label").alias("cycles"), F.count("*").alias("reads"))
+    cuts = cut.agg(F.count("*").alias("cuts"), F.coalesce(F.sum("s"), F.lit(0)).alias("cut_after"))
+    rows = of_cycles.crossJoin(cuts).crossJoin(left.agg(F.count("*").alias("left"))).crossJoin(placed.agg(F.count("*").alias("placed"))).crossJoin(r.agg(F.count("*").alias("n")))  # one row each
+    return rows.select("cycles", "reads", "cuts", "cut_after", F.col("left").alias("on_cycles"), (F.col("n") - F.col("placed")).alias("unplaced"))
 
 
 def contig_placement(spark, sf_dir):
@@ -366,13 +398,13 @@ def read_off_overlap(spark, sf_dir):
 
 def read_off_inverse(spark, sf_dir):
     o = T.position_overlap(_placed(spark, sf_dir), "ref_id", P.length)
-    o = o.withColumn("ord", F.row_number().over(Window.partitionBy("ref_id").orderBy("pos", "read_id"))).drop("pos")
+    o = dense_number(o, ["pos", "read_id"], T.STRETCH, ["ref_id"], "ord").drop("pos")
     return T.positions_from_overlap(o, "ref_id", P.length).select("read_id", F.col("restored").alias("pos"))
 
 
 def pos_order(spark, sf_dir):
     """Alignments in stored order: by position, ties by id."""
-    return _placed(spark, sf_dir).select("read_id", (F.row_number().over(Window.partitionBy("ref_id").orderBy("pos", "read_id")) - 1).alias("rank"))
+    return dense_number(_placed(spark, sf_dir), ["pos", "read_id"], T.STRETCH, ["ref_id"], "rank").select("read_id", F.col("rank").cast("int").alias("rank"))
 
 
 def hq_ordinal(spark, sf_dir):
@@ -454,23 +486,21 @@ def selfmatch_seeds(spark, sf_dir):
     return X.seed_pairs(_palindromic(spark, sf_dir), P)
 
 
+def _match_rows(found):
+    return found.select("dest_id", "src_id", *[F.col(c).cast("int").alias(c) for c in ("pos_dest", "pos_src", "len")])
+
+
 def selfmatch_maximal(spark, sf_dir):
-    """Invariants of the maximal matches: sources equal destinations, none can be extended, and each
-    planted repeat is inside one."""
-    store = Store(spark, "selfmatch")
-    refs = store.save(_palindromic(spark, sf_dir))
-    found = store.save(X.maximal_matches(refs, P))
-    t = found.join(refs.select(F.col("ref_id").alias("dest_id"), "dna", S.reverse_complement("dna").alias("rc")), "dest_id")
-    at = lambda c, pos, n: F.substring(F.col(c), (pos + 1).cast("int"), n)
-    one = F.lit(1)
-    grow_l = (F.col("pos_src") > 0) & (F.col("pos_dest") > 0) & (at("dna", F.col("pos_src") - 1, one) == at("rc", F.col("pos_dest") - 1, one))
-    end_s, end_d = F.col("pos_src") + F.col("len"), F.col("pos_dest") + F.col("len")
-    grow_r = (end_s < F.length("dna")) & (end_d < F.length("rc")) & (at("dna", end_s, one) == at("rc", end_d, one))
-    return t.agg(
-        F.count_if(at("dna", F.col("pos_src"), F.col("len")) != at("rc", F.col("pos_dest"), F.col("len"))).alias("unequal"),
-        F.count_if(grow_l | grow_r).alias("extensible"),
-        F.count_if(F.col("len") < P.match_min).alias("short"),
-    )
+    """Maximal inverted repeats of each reference in itself."""
+    return _match_rows(X.maximal_matches(_palindromic(spark, sf_dir), P))
+
+
+def crossmatch_maximal(spark, sf_dir):
+    """Maximal inverted repeats between references: sources with an even id, destinations with an
+    odd one, of which every second is turned round."""
+    refs = _refs(spark, sf_dir)
+    turned = F.when(F.pmod("ref_id", F.lit(4)) == 1, S.reverse_complement("dna")).otherwise(F.col("dna"))
+    return _match_rows(X.maximal_matches(refs.where("ref_id % 2 = 0"), P, refs.where("ref_id % 2 = 1").select("ref_id", turned.alias("dna"))))
 
 
 def _canonical(spark, sf_dir, store):
@@ -479,30 +509,27 @@ def _canonical(spark, sf_dir, store):
     return refs, store.save(X.canonical_matches(X.maximal_matches(refs, P), sizes, P))
 
 
+def _place_rows(found):
+    return found.select("ref_id", *[F.col(c).cast("int").alias(c) for c in ("pos_src", "pos_dest", "len")])
+
+
 def selfmatch_canonical(spark, sf_dir):
-    """Invariants: source before destination, no overlap, long enough, equal to the reverse complement."""
-    refs, m = _canonical(spark, sf_dir, Store(spark, "canonical"))
-    t = m.join(refs, "ref_id")
-    cut = lambda pos: F.substring(F.col("dna"), (F.col(pos) + 1).cast("int"), F.col("len"))
-    # where the ends were trimmed, the source's last bases face the destination's first ones
-    return t.agg(F.count_if(F.col("pos_src") + F.col("len") > F.col("pos_dest")).alias("overlapping"), F.count_if(F.col("len") < P.match_min).alias("short"), F.count_if(S.reverse_complement(cut("pos_src")) != cut("pos_dest")).alias("unequal"))
+    """Source before destination, no overlap, mirrored halves once."""
+    return _place_rows(_canonical(spark, sf_dir, Store(spark, "canonical"))[1])
 
 
 def interval_cover(spark, sf_dir):
-    """Invariants of the cover: destinations disjoint, long enough."""
-    _, m = _canonical(spark, sf_dir, Store(spark, "cover"))
-    c = X.interval_cover(m, P)
-    w = Window.partitionBy("ref_id").orderBy("pos_dest")
-    return c.withColumn("before", F.lag(F.col("pos_dest") + F.col("len")).over(w)).agg(F.count_if(F.col("before") > F.col("pos_dest")).alias("overlapping"), F.count_if(F.col("len") < P.match_min).alias("short"))
+    """Disjoint destinations, left to right."""
+    return _place_rows(X.interval_cover(_canonical(spark, sf_dir, Store(spark, "cover"))[1], P))
 
 
 def hole_text(spark, sf_dir):
-    """Sizes add up: text left, holes and what they stand for."""
+    """Per reference: size of text left and holes' bases, number of holes, size of the text left."""
     store = Store(spark, "holes")
     refs, m = _canonical(spark, sf_dir, store)
     h = X.punch_holes(refs, X.interval_cover(m, P))
     gone = F.aggregate("map", F.lit(0), lambda a, x: a + x["len"])
-    return h.select("ref_id", (F.length("holed") - F.size("map") + gone).cast("int").alias("size"))
+    return h.select("ref_id", (F.length("holed") - F.size("map") + gone).cast("int").alias("size"), F.size("map").alias("holes"), F.length("holed").alias("left_over"))
 
 
 def ref_recover(spark, sf_dir):

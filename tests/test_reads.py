@@ -44,6 +44,24 @@ def test_ordering(spark):
         assert nxt[i] == min((j for j, q, _ in rows if q == k and j > i), default=None)
 
 
+def test_ordering_in_two_levels(spark, monkeypatch):
+    from helixmill.operators import ordering
+
+    monkeypatch.setattr(ordering, "FAN", 3)
+    test_ordering(spark)
+
+
+def test_scratch_folder_needs_sharing(monkeypatch):
+    from types import SimpleNamespace
+
+    from helixmill.plans.storage import shared_folder
+
+    session = lambda master, given: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: given), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert shared_folder(session("spark://x:1", "hdfs:///c/")) == "hdfs:///c"
+    with pytest.raises(RuntimeError):
+        shared_folder(session("spark://x:1", None))
+
+
 def test_greedy_equals_sequential(spark):
     r = random.Random(2)
     edges = list({(r.randint(0, 30), r.randint(0, 30), r.randint(1, 9)) for _ in range(200)})
@@ -93,6 +111,62 @@ def test_rank_zip_shift(spark):
     assert len(out) == 3  # the three equal reads in a circle; the other meets itself only
 
 
+def sequential_zip(seqs, off):
+    """Pairs of the i-th suffix and prefix of each key, prefixes shifted by one where a read meets itself."""
+    keys = {s[off:] for s in seqs} & {s[: len(s) - off] for s in seqs}
+    out = set()
+    for k in keys:
+        left = [i for i, s in enumerate(seqs) if s[off:] == k]
+        right = [i for i, s in enumerate(seqs) if s[: len(s) - off] == k]
+        if any(a == b for a, b in zip(left, right)):
+            right = right[-1:] + right[:-1]
+        out |= {(a, b, off) for a, b in zip(left, right) if a != b}
+    return out
+
+
+@pytest.mark.parametrize("off", [1, 4, 7])
+def test_rank_zip_both_ways(spark, off):
+    r, p = random.Random(off), ReadParams(8)
+    seqs = ["".join(r.choice("AC") for _ in range(8)) for _ in range(120)]
+    df = frame(spark, seqs)
+    want = sequential_zip(seqs, off)
+    assert {tuple(x) for x in O.rank_zip(df, df, off, p, width=7).collect()} == want
+    ends = O.zip_ends(O.open_ends(df, df), off, p)
+    assert {(x.id, x.other, x.off) for x in ends.where("side = 0 AND other IS NOT NULL").collect()} == want
+    assert {(x.other, x.id, x.off) for x in ends.where("side = 1 AND other IS NOT NULL").collect()} == want
+
+
+def test_short_overlaps_down_to_one_base(spark):
+    r, p, store = random.Random(12), ReadParams(64), Store(spark, "t")
+    seqs = [genome(r, 64) for _ in range(40)] + [(lambda g: g)(genome(r, 64))] * 2
+    links = O.short_overlap_links(store, frame(spark, seqs), O.duplicate_links(frame(spark, seqs)), p).collect()
+    assert all(seqs[x.s][x.off :] == seqs[x.p][: 64 - x.off] for x in links)
+    open_s, open_p = set(range(len(seqs))) - {x.s for x in links}, set(range(len(seqs))) - {x.p for x in links}
+    assert not any(seqs[s][-1] == seqs[p_][0] for s in open_s for p_ in open_p if s != p_)
+    assert max(x.off for x in links) == 63
+
+
+def test_holes_filled_from_other_strings(spark):
+    r, p = random.Random(9), ReadParams(100)
+    hq = [genome(r, 900) for _ in range(3)]
+    others = [genome(r, 70) + rc(hq[0][100:260]) + genome(r, 30) + rc(hq[2][500:900]), rc(hq[1]), genome(r, 300), "N" * 40 + rc(hq[1][0:120]) + rc(hq[0][60:170]), ""]
+    src = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(hq)], "ref_id string, dna string")
+    dest = spark.createDataFrame([(f"o{i}", t) for i, t in enumerate(others)], "ref_id string, dna string")
+    found = X.cross_matches(X.maximal_matches(src, p, dest), dest.select("ref_id", F.length("dna").alias("size")))
+    holed = X.punch_holes(dest, X.interval_cover(found, p))
+    sizes = {x.ref_id: (len(x.holed), len(x.map)) for x in holed.collect()}
+    assert sizes["o1"] == (1, 1) and sizes["o0"][1] == 2 and sizes["o0"][0] <= 104 and sizes["o2"] == (300, 0) and sizes["o3"][1] == 2
+    assert {x.ref_id: x.dna for x in X.fill_from(holed, src).collect()} == {f"o{i}": t for i, t in enumerate(others)}
+
+
+def test_long_runs_are_extended_beyond_reach(spark, monkeypatch):
+    monkeypatch.setattr(X, "REACH", 20)
+    r, p = random.Random(10), ReadParams(100)
+    a = genome(r, 700)
+    refs = spark.createDataFrame([(1, a + genome(r, 40) + rc(a))], "ref_id long, dna string")
+    assert {(x.pos_src, x.pos_dest, x.len) for x in X.maximal_matches(refs, p).collect()} >= {(0, 0, 700)}
+
+
 def test_mapping_bound_and_strand(spark):
     r, p = random.Random(4), ReadParams(100)
     g = genome(r, 600)
@@ -156,6 +230,36 @@ def test_round_trip(spark, tmp_path, mode):
     assert len(out) == len(seqs) and spark.read.parquet(f"file://{tmp_path}/a/reads").select("block_id").distinct().count() == 3
 
 
+def test_compress_and_decompress(spark, tmp_path):
+    from helixmill.plans.archive import compress, decompress
+    from helixmill.sources.fastq import write_fastq
+
+    r = random.Random(11)
+    g = genome(r, 700)
+    seqs = [rc(s) if i % 5 == 0 else s for i, s in enumerate(g[j : j + 100] for j in (r.randint(0, 600) for _ in range(120)))] + [genome(r, 100), "N" + genome(r, 99), rc(g[300:400])]
+    for i, part in enumerate((seqs, seqs[::-1])):
+        write_fastq(frame(spark, part), f"{tmp_path}/{i}.fastq")
+    one, two, out = f"{tmp_path}/one.reads", f"{tmp_path}/two.reads", f"{tmp_path}/out"
+    counters = compress(spark, [f"{tmp_path}/0.fastq"], one, reads_per_block=50)
+    assert counters["reads"] == len(seqs) and counters["blocks"] == 3
+    blocks = spark.read.parquet(f"{one}/reads").groupBy("block_id").count().collect()
+    assert {x.block_id: x["count"] for x in blocks} == {0: 50, 1: 50, 2: len(seqs) - 100}
+    folder, = decompress(spark, one, out, rows_per_file=30)
+    lines = [x.value for x in spark.read.text(folder).collect()]
+    assert sorted(lines) == sorted(seqs)
+    # default order: by block, then hq, lq, n by position
+    from helixmill.plans.archive import ORDER, decode
+
+    assert [x.seq for x in decode(spark, one, places=True).orderBy(*ORDER["default"]).collect()] == [x.value for x in spark.read.text(folder).withColumn("f", F.input_file_name()).orderBy("f", F.monotonically_increasing_id()).collect()]
+    compress(spark, [f"{tmp_path}/0.fastq", f"{tmp_path}/1.fastq"], two)
+    first, second = decompress(spark, two, out)
+    pairs = list(zip(*([x.value for x in spark.read.text(f).withColumn("f", F.input_file_name()).orderBy("f", F.monotonically_increasing_id()).collect()] for f in (first, second))))
+    assert pairs == list(zip(seqs, seqs[::-1]))
+    for bad in (lambda: compress(spark, ["x.txt"], one), lambda: compress(spark, [f"{tmp_path}/0.fastq"], "x"), lambda: compress(spark, [f"{tmp_path}/0.fastq"] * 2, two, reads_per_block=3)):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_empty_archive(spark, tmp_path):
     encode(frame(spark, ["A"]).limit(0), f"file://{tmp_path}/a", ReadParams(64), "preserve", least=60)
     assert decode(spark, f"file://{tmp_path}/a").count() == 0
