@@ -19,11 +19,12 @@ the ``KEEP`` smallest hash values of its set:
    pair, its list meets anew without that shortcut.
 4. Members of a longer list first meet its hub, the member whose lists are longest:
    a group of near copies becomes one component this way without pairs among them.
-   Where few of its pairs are then still between components, the members outside
-   the largest component meet all others, block by block.
-5. Where many are, the members are listed anew by tuples of retained values;
-   ``LEVELS`` gives tuple size and number of tuples. A list that stays open at the
-   last level is compared block by block, so nothing is dropped.
+   What is then still between components meets block by block: the members outside
+   the largest component with all others where those are few, else each block with
+   each other.
+5. Where that is more than ``CROSS`` pairs a member, the members are listed anew by
+   tuples of retained values; ``LEVELS`` gives tuple size and number of tuples. A list
+   that stays open at the last level is compared block by block, so nothing is dropped.
 6. The union of both sketches estimates the similarity, without error for sets of
    up to ``KEEP`` shingles; pairs more than ``SIGMAS`` standard deviations under the
    threshold are let go.
@@ -64,8 +65,8 @@ BINS = 64
 LEVELS = [(4, 40), (8, 400)]  # a pair of similarity 0.8 shares no tuple with probability 1e-5, 5e-6
 SIGMAS = 4.2
 LONG = 1500  # members of a list that meet in one task
-CROSS = 4_000_000  # pairs between components that a longer list may have, counted twice
-BLOCK = 512  # members of a longer list in one task
+CROSS = 10_000  # pairs between components a member that are cheaper to compare than tuples to deal, counted twice
+BLOCK = 512  # members of a longer list in one task, with as many others
 CHUNK = 400_000  # shingles of the texts verified together
 EDGES = 1 << 20  # links whose components one task finds, in some 100 MB
 SLOTS = 1 << 24  # bits of the table of documents that a verification needs
@@ -328,7 +329,6 @@ def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, sizes: DataFrame
     parts = sized.groupBy("a").agg(F.ceil(F.sum("n") / CHUNK).alias("parts"))
     dealt = scratch.save(sized.join(parts, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("parts"))).alias("g"), "a", "b"), "dealt")
     needs = dealt.select("g", F.col("a").alias("doc_id"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("of")).distinct().union(dealt.select("g", "b", F.lit(1), "a"))
-    needs = scratch.save(needs, "needs")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     found = needs.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(31)).cast("int"))).alias("m")).toPandas()
     bits = np.zeros(SLOTS // 32, np.int64)
@@ -369,7 +369,7 @@ def verify(scratch: Scratch, pairs: DataFrame, docs: DataFrame, sizes: DataFrame
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = rows.repartition(n, "g").sortWithinPartitions("g", "role").mapInArrow(exact, "a long, b long")
     links = scratch.save(links.distinct(), "links")
-    scratch.drop(dealt, needs)
+    scratch.drop(dealt)
     return links
 
 
@@ -388,9 +388,10 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(rep, comp) for every end of a link; comp is the smallest reachable end."""
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    if edges.count() <= EDGES:
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if links.count() <= EDGES:
         return edges.coalesce(1).mapInArrow(_joined, "rep long, comp long")
+    edges = scratch.save(edges.distinct(), "edges")
     state = lambda e: e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
     before = state(edges)
     while True:
@@ -516,8 +517,11 @@ def link(scratch: Scratch, docs: DataFrame, reps: DataFrame, width: int = WIDTH,
         open_lists = scratch.save(long.join(_stats(long), "key"), "open")
         scratch.drop(lists)
         used = [open_lists]
-        near, far = open_lists.where(F.col("cross") <= CROSS), open_lists.where(F.col("cross") > CROSS)
-        carried = _dealt_near(near)
+        few = (F.col("size") - F.col("top_n") <= LONG) & (F.col("cross") <= F.col("size") * CROSS)
+        near, rest = open_lists.where(few), open_lists.where(~few)
+        some = F.col("cross") <= F.col("size") * CROSS
+        far = rest.where(~some)
+        carried = _dealt_near(near).union(_dealt_far(rest.where(some)))
         if level == len(LEVELS):
             add([carried, _dealt_far(far)])
             break
