@@ -13,9 +13,9 @@ in each class whatever the input, is packed by first fit, longest first.
 Pieces are written to the shared folder before the second round, so that texts
 are tokenised once and a lost executor repeats only its own partitions.
 
-Token ids are those of the byte-level BPE file given by path, text of special
-tokens being ordinary text. The ids are computed by tiktoken on the very ranks
-in that file; ``same_ids`` compares them with the tokenizers library.
+Token ids are those that the tokenizers library gives for the byte-level BPE file at
+the path: text of an added token is that token. They are computed by tiktoken on the
+very ranks in that file; ``same_ids`` compares them with the library.
 
 Cases: null or empty text is the end token alone; repeated rows are packed each
 time; null ids are handed on; no rows give no rows; extra columns are not read.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -68,17 +69,27 @@ def encoder(path: str):
         import public_tokenizers
         import tiktoken
 
-        spec = json.load(open(path, encoding="utf-8"))
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[path]
 
 
 def token_ids(enc, text: str) -> np.ndarray:
-    """Ids of a text. Long texts are encoded part by part, cut where a blank stands
-    between two letters or digits, at which the pattern always splits."""
+    """Ids of a text: added tokens split it first, of several at one place the longest."""
+    if not any(t in text for t in enc.special_tokens_set):
+        return plain_ids(enc, text)
+    added = "|".join(re.escape(t) for t in sorted(enc.special_tokens_set, key=len, reverse=True))
+    parts = re.split(f"({added})", text)  # every second part is an added token
+    return np.concatenate([np.array([enc.encode_single_token(x)], np.uint32) if i % 2 else plain_ids(enc, x) for i, x in enumerate(parts)])
+
+
+def plain_ids(enc, text: str) -> np.ndarray:
+    """Ids of a text without added tokens. Long texts are encoded part by part, cut where
+    a blank stands between two letters or digits, at which the pattern always splits."""
     if len(text) <= PARTS:
         return np.array(enc.encode_ordinary(text), np.uint32)
     out, at = [], 0
@@ -96,7 +107,6 @@ def same_ids(texts: list[str], path: str) -> bool:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     enc = encoder(path)
     return all(e.ids == token_ids(enc, x).tolist() for e, x in zip(t.encode_batch(texts, add_special_tokens=False), texts))
 
