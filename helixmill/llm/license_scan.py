@@ -15,9 +15,10 @@ Templates are a parameter of bounded size (``TEMPLATE_BYTES``); documents are re
 once, without a shuffle.
 
 Cases: null and empty texts match nothing; templates of fewer than WIDTH words are
-refused; overlapping matches of one template are one, and of different templates those
-contained best stay; rows that repeat count each
-time; null ids are handed on; extra columns are not read.
+refused; overlapping matches of one template are one, and of different templates one goes
+of whose words a better contained one holds half; rows that repeat count each time; null
+ids are handed on; extra columns are not read; a very long text is one slice of its own;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,16 +79,18 @@ def _bands(shingles: np.ndarray, n: int, step: int) -> Iterator[tuple[np.ndarray
 
 
 def _best(found: list[tuple]) -> list[tuple]:
-    """Matches that no better contained match overlaps."""
+    """Matches of whose words no better contained match holds half or more: of versions that
+    differ by a word the right one stays, and a notice stays beside a shorter one inside it."""
     found, out = sorted(found, key=lambda m: (m[1], m[2])), []
     longest = max((m[2] - m[1] for m in found), default=0)
+    beats = lambda x, m: x[3] > m[3] and 2 * (min(x[2], m[2]) - max(x[1], m[1])) >= m[2] - m[1]
     for i, m in enumerate(found):
         beaten, j = False, i - 1
         while j >= 0 and found[j][1] > m[1] - longest and not beaten:
-            beaten, j = found[j][2] > m[1] and found[j][3] > m[3], j - 1
+            beaten, j = beats(found[j], m), j - 1
         j = i + 1
         while j < len(found) and found[j][1] < m[2] and not beaten:
-            beaten, j = found[j][3] > m[3], j + 1
+            beaten, j = beats(found[j], m), j + 1
         if not beaten:
             out.append(m)
     return out
@@ -158,7 +161,6 @@ class Templates:
                     found[d][-1] = (t, min(a, m[1]), max(b, m[2]), max(share, m[3]))
                 else:
                     found[d].append((t, a, b, share))
-        # of overlapping matches the better contained ones stay: versions differ by a word
         found = [_best(x) for x in found]
         return [[(self.ids[t], a - int(w.first[d]), b - int(w.first[d]), s) for t, a, b, s in x] for d, x in enumerate(found)]
 
