@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixmill.llm import grams as G
-from helixmill.llm.common import bounded_batches, Scratch, slices, utf8
+from helixmill.llm.common import Scratch, bounded_batches, sheltered, slices, utf8
 
 SPAN = 10  # words of a window
 K = 5  # words of a fingerprint's gram
@@ -131,7 +131,8 @@ def _add(schema: pa.Schema, spec, text: str, earlier: bool):
 def find_benchmark_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", span: int = SPAN, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` with three columns more: ``__words`` (number of words),
     ``__hit`` (merged word ranges within occurrences of a window) and ``__items``
-    (the items that occur, by row and id)."""
+    (the items that occur, by row and id); given columns of these names are left out."""
+    docs = docs.drop(WORDS, HIT, ITEMS)
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     add = T.StructType([
@@ -193,5 +194,6 @@ def digest_of(ids: list[str]) -> str:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs."""
-    return find_benchmark_spans(docs, benchmark).where(F.size(HIT) == 0).drop(WORDS, HIT, ITEMS)
+    """The rows of ``docs`` in which no benchmark window occurs, with all their columns."""
+    docs, named = sheltered(docs, (WORDS, HIT, ITEMS))
+    return named(find_benchmark_spans(docs, benchmark).where(F.size(HIT) == 0).drop(WORDS, HIT, ITEMS))

@@ -7,24 +7,28 @@ language, counts are corrected by each filter's false-positive rate, and the
 largest share wins.
 
 An n-gram is ``N`` bytes of the lower-cased UTF-8 text around a position inside
-or at the border of a word. It enters a language's filter when its relative
-frequency there is at least ``MIN_SHARE`` of its largest relative frequency in
-any language; so stray foreign passages and mislabelled rows do not fill filters.
-N-gram counts cover all training rows and are summed in the cluster. What comes
-to the driver is the slots, of which there are ``2 ** bits`` at most.
+or at the border of a word. Each language's filter holds all n-grams of its
+training rows. The number of slots follows from the language with most distinct
+n-grams, so that at most ``FILL`` of a filter's bits are set, up to 2 ** ``MOST_BITS``
+slots; what filters fuller than that let through by mistake is part of the
+correction. N-grams of all training rows are gathered in the cluster; what comes to
+the driver, and goes out to all tasks, is the slots: 2 ** MOST_BITS bytes for up to
+eight languages, eight times that for each 64 languages otherwise.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; a text of
 letters whose n-grams no filter holds gets the learned language with most
 training rows, score 0, as long as anything was learned; with nothing learned
 every text is ``und``; ties go to the first language by name; rows with null
-lang or null text teach nothing; repeated rows count each time; null ids hash
-as the empty text; extra columns are not read.
+lang or null text teach nothing; repeated rows teach no more than one; null ids hash
+as the empty text; extra columns are not read, and come through the stage whatever
+their names; a very long text is one slice of its own; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import bounded_batches, slices, utf8
+from helixmill.llm.common import Scratch, bounded_batches, sheltered, slices, utf8
 from helixmill.llm.grams import U, mix
 
 N = 5
-BITS = 22
 HASHES = 2
-MIN_SHARE = 0.15
+FILL, LEAST_BITS, MOST_BITS = 0.25, 16, 27
+#: The stage keeps texts of whose n-grams the language's filter holds this share.
+LEAST_SCORE = 0.5
 UND = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -71,8 +76,8 @@ def _lower(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(col, ""))
 
 
-def count_ngrams(docs: DataFrame, n: int = N) -> DataFrame:
-    """(gram, lang, count) over all rows with text and lang."""
+def distinct_ngrams(docs: DataFrame, n: int = N) -> DataFrame:
+    """(gram, lang) of all rows with text and lang."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -81,9 +86,8 @@ def count_ngrams(docs: DataFrame, n: int = N) -> DataFrame:
         def flush():
             nonlocal size
             for lang, parts in held.items():
-                grams, counts = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                total = np.bincount(counts, np.concatenate([p[1] for p in parts]), len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array([lang] * len(grams)).cast(pa.string()), pa.array(total)], ["gram", "lang", "n"])
+                grams = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array([lang] * len(grams)).cast(pa.string())], ["gram", "lang"])
             held.clear()
             size = 0
 
@@ -92,15 +96,15 @@ def count_ngrams(docs: DataFrame, n: int = N) -> DataFrame:
             text = _lower(b.column(0))
             for lang in dict.fromkeys(langs):
                 h, _ = _ngrams(*utf8(text.filter(pa.array(langs == lang))), n)
-                g, c = np.unique(h, return_counts=True)
-                held.setdefault(lang, []).append((g, c))
+                g = np.unique(h)
+                held.setdefault(lang, []).append(g)
                 size += len(g)
             if size > 1_500_000:
                 yield from flush()
         yield from flush()
 
     rows = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    return rows.mapInArrow(run, "gram long, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "gram long, lang string").distinct()
 
 
 class Filters:
@@ -146,29 +150,27 @@ class Filters:
         return langs, scores
 
 
-def learn(docs: DataFrame, bits: int = BITS) -> Filters:
-    """Filters from all rows of ``docs`` (text, lang)."""
-    counts = count_ngrams(docs)
-    spark = docs.sparkSession
-    from helixmill.llm.common import Scratch
+def slot_bits(distinct: int) -> int:
+    """Bits of the slot number for filters of up to so many n-grams."""
+    return min(max(LEAST_BITS, int(np.ceil(np.log2(max(1, HASHES * distinct / FILL))))), MOST_BITS)
+
 
-    scratch = Scratch(spark, "language-id")
-    counts = scratch.save(counts, "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+def learn(docs: DataFrame, bits: int | None = None) -> Filters:
+    """Filters from all rows of ``docs`` (text, lang)."""
+    scratch = Scratch(docs.sparkSession, "language-id")
+    grams = scratch.save(distinct_ngrams(docs), "grams")
     learned = {r["lang"]: r["rows"] for r in docs.where("text IS NOT NULL AND lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows")).collect()}
     langs = sorted(learned)
+    bits = bits or slot_bits(max([r["count"] for r in grams.groupBy("lang").count().collect()], default=0))
     if not langs:
         return Filters([], [], np.zeros(0, np.int64), [], bits)
-    code = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
-    rate = counts.join(F.broadcast(totals), "lang").select("gram", code[F.col("lang")].alias("code"), (F.col("n") / F.col("total")).alias("rate"))
+    code = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])[F.col("lang")]
     n_blocks = -(-len(langs) // 64)
     in_block = lambda k: F.col("code").between(64 * k, 64 * k + 63)
-    most = rate.groupBy("gram").agg(F.collect_list(F.struct("code", "rate")).alias("all"), F.max("rate").alias("most"))
-    kept = most.select("gram", F.explode(F.filter("all", lambda x: x["rate"] >= MIN_SHARE * F.col("most"))["code"]).alias("code"))
     slot = F.explode(F.array(F.shiftrightunsigned("gram", 64 - bits), F.col("gram").bitwiseAND(F.lit((1 << bits) - 1))))
     bit = lambda k: F.bit_or(F.when(in_block(k), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("code") - 64 * k)).otherwise(F.lit(0).cast("long"))).alias(f"m{k}")
-    rows = kept.select("code", slot.alias("slot")).groupBy("slot").agg(*[bit(k) for k in range(n_blocks)]).toPandas()
-    scratch.drop(counts)
+    rows = grams.select(code.alias("code"), slot.alias("slot")).groupBy("slot").agg(*[bit(k) for k in range(n_blocks)]).toPandas()
+    scratch.drop(grams)
     return Filters(langs, [learned[x] for x in langs], rows["slot"].to_numpy(np.int64), [rows[f"m{k}"].to_numpy(np.int64).view(U) for k in range(n_blocks)], bits)
 
 
@@ -200,7 +202,10 @@ def identify(docs: DataFrame) -> DataFrame:
     return tag(docs.select("doc_id", "text"), filters).select("doc_id", held_out(4).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in some language; undetermined ones (no text, no letter) go."""
+def keep_identified(docs: DataFrame, langs: Collection[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text is, by prediction, in one of ``langs`` (any learned language
+    if None) with a score of ``least`` or more; the others go, and so do texts without a letter."""
+    docs, named = sheltered(docs, ("__lang", "__score"))
     filters = learn(docs.where(~held_out(4)).select("text", "lang"))
-    return tag(docs, filters).where(F.col("__lang") != UND).drop("__lang", "__score")
+    wanted = F.col("__lang").isin(*(filters.langs if langs is None else langs)) & (F.col("__score") >= least)
+    return named(tag(docs, filters).where(wanted).drop("__lang", "__score"))
