@@ -139,6 +139,60 @@ def test_html_emits_what_browsers_show(html, want):
     assert extract(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a  b   c\nd      e\nf"),
+        ("<ol start=3><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n10. c"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=7><li>a<li>b</ol>", "7. a\n6. b"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<div style='display:none'>no<b style='display:block'>no</b></div>a", "a"),
+        ("<p hidden style='display:block'>yes</p>", "yes"),
+        ("<style>.x, p#i.y{color:red;display:none} @media print{b{display:none}} u>i{display:none}</style><p class='a x'>no<p id=i class=y>no<p class=y>a <b>b</b> <u><i>c</i></u>", "a b c"),
+        ("<style>p{visibility:hidden}.v{visibility:visible}</style><p>no <b class=v>yes</b><p style='visibility:visible'>too", "yes\n\ntoo"),
+        ("<style>p{display:none !important}</style><p style='display:block'>no</p>a", "a"),
+        ("<style>.x{display:none}.x{display:block}/* .x{display:none} */</style><p class=x>a", "a"),
+        ("<table><tr><td style='visibility:hidden'>no<td>a<tr><td>bb<td>c</table>", "    a\nbb  c"),
+        ("name <input value=typed> <input type=checkbox value=no><input type=password value=no><input type=submit value=Go>", "name typed Go"),
+    ],
+)
+def test_html_follows_spans_numbers_and_style(html, want):
+    from helixmill.llm.html_text import extract
+
+    assert extract(html) == want
+
+
+def test_html_hides_what_plain_rules_hide():
+    """Random trees against a recursive reading of the same rules."""
+    import re
+
+    from helixmill.llm.html_text import extract
+
+    r = random.Random(17)
+    kinds = {"": (None, None), " hidden": ("none", None), " style='display:none'": ("none", None), " style='visibility:hidden'": (None, False), " style='visibility:visible'": (None, True), " class=h": ("none", None), " class=v": (None, True)}
+
+    def tree(depth, shown):
+        html, seen = "", []
+        for _ in range(r.randint(1, 3)):
+            w = f"w{r.randrange(10**6)} "
+            html += w
+            seen += [w.strip()] if shown else []
+            if depth:
+                a = r.choice(list(kinds))
+                display, visible = kinds[a]
+                tag = r.choice(["div", "b", "p" if depth == 1 else "section", "span"])
+                inner, words = tree(depth - 1, False if display else shown if visible is None else visible)
+                html += f"<{tag}{a}>{inner}</{tag}> "
+                seen += [] if display else words
+        return html, seen
+
+    for _ in range(150):
+        html, seen = tree(3, True)
+        assert re.findall(r"w\d+", extract(f"<style>.h{{display:none}} .v{{visibility:visible}}</style>{html}")) == seen
+
+
 def test_html_end_tags_behind_capital_dotted_i():
     from helixmill.llm.html_text import extract
 
