@@ -1,8 +1,9 @@
 """WARC archives: a deterministic sharded writer and its reader.
 
-Records are sorted by page id and dealt to shards by id range. Range borders come
-from the bytes in ``CELLS`` equal parts of the id range, a table of fixed size, so
-they depend on the rows alone. A shard's records go to files that roll once
+Records are sorted by page id and dealt to shards by id range. A shard ends where the
+bytes of all pages up to an id pass a multiple of ``shard_bytes``, so borders depend on
+the rows alone and shards are even however ids are spread; what goes out to the tasks is
+eight bytes a shard. A shard's records go to files that roll once
 ``roll_bytes`` of compressed output are reached; each record is a gzip member of its
 own. Headers and digests are made anew from the payload, and dates come from a
 parameter, so equal rows give equal files.
@@ -33,13 +34,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import shared_dir
+from helixmill.llm.common import Scratch, partitions
+from helixmill.plans.storage import shared_folder
 
-CELLS = 4096
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
 LEVEL = 2  # of gzip
 DATE = "2024-01-01T00:00:00Z"
@@ -118,23 +120,42 @@ def records_of(stream) -> Iterator[bytes]:
         yield b"".join(out)
 
 
+def shard_borders(sized: DataFrame, shard_bytes: int) -> np.ndarray:
+    """Smallest page id of each shard but the first, from (page_id, bytes): a shard ends where
+    the bytes of all pages up to an id pass a multiple of ``shard_bytes``.
+
+    The ids are dealt by range, so that running sums need one total per range on the driver."""
+    scratch = Scratch(sized.sparkSession, "warc-sizes")
+    ranges = max(1, partitions(sized.sparkSession))
+    per = sized.where("page_id IS NOT NULL").groupBy("page_id").agg(F.sum(F.col("bytes") + 600).alias("bytes"))
+    per = scratch.save(per.repartitionByRange(ranges, "page_id").select("page_id", "bytes", F.spark_partition_id().alias("part")), "sizes")
+    totals = sorted((r["first"], r["part"], r["bytes"]) for r in per.groupBy("part").agg(F.min("page_id").alias("first"), F.sum("bytes").alias("bytes")).collect())
+    if not totals:
+        return np.zeros(0, np.int64)
+    before, base = 0, []
+    for _, part, size in totals:
+        base.append((part, before))
+        before += size
+    base = sized.sparkSession.createDataFrame(base, "part int, base long")
+    inside = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(F.broadcast(base), "part")
+    first = placed.groupBy(F.floor((F.col("base") + F.col("inside")) / shard_bytes).alias("shard")).agg(F.min("page_id").alias("first"))
+    found = np.sort(first.toPandas()["first"].to_numpy(np.int64))[1:]
+    scratch.drop(per)
+    return found
+
+
 def _shards(sized: DataFrame, shard_bytes: int) -> tuple[F.Column, int]:
     """Shard of each page id, and the number of shards."""
-    lo, hi = sized.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
+    borders = shard_borders(sized, shard_bytes)
+    if not len(borders):
         return F.lit(0), 1
-    width = max(1, -(-(hi - lo + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - lo) / width).cast("int"), F.lit(0))
-    rows = sized.groupBy(cell.alias("cell")).agg(F.sum(F.col("bytes") + 600).alias("bytes")).toPandas()
-    size = np.zeros(CELLS, np.int64)
-    size[rows["cell"].to_numpy(int)] = rows["bytes"].to_numpy(np.int64)
-    shard = (np.cumsum(size) - size) // shard_bytes
-    _, shard = np.unique(shard, return_inverse=True)
-    borders = (np.flatnonzero(np.diff(shard)) + 1).tolist()
-    where = F.lit(0)
-    if borders:  # number of borders at or before the cell
-        where = F.size(F.filter(F.lit(borders), lambda b: b <= cell))
-    return where, len(borders) + 1
+
+    @F.pandas_udf("int")
+    def shard(page_id: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(borders, page_id.to_numpy(), "right").astype(np.int32))
+
+    return F.when(F.col("page_id").isNull(), 0).otherwise(shard(F.coalesce("page_id", F.lit(0)))), len(borders) + 1
 
 
 def write_archive(pages: DataFrame, base: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, date: str = DATE) -> DataFrame:
@@ -278,7 +299,7 @@ def _rows(rows: list[tuple], fields: str) -> pa.RecordBatch:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/warc-{uuid.uuid4().hex[:12]}"
 
 
 def round_trip(pages: DataFrame, base: str | None = None) -> DataFrame:
