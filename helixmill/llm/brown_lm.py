@@ -5,11 +5,10 @@ P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)).
 Tokens are runs of non-space characters, A-Z lower-cased, and one end token per
 document; a token is known by a 64-bit hash. All counts cover all training rows.
 
-1. Anchors. The ``ANCHORS`` most frequent words (and the end) are found among the
-   words that make up at least 1 / ``HEAVY`` of some task's tokens. Their bigram
-   matrix is summed in the cluster, and exchange clustering on the driver, on a
-   matrix of that fixed size, moves each anchor to the class that raises the
-   mutual information of adjacent classes most, until nothing moves.
+1. Anchors. Words are counted over all training rows. The bigram matrix of the
+   ``ANCHORS`` most frequent ones (and the end) is summed in the cluster, and exchange
+   clustering on the driver, on a matrix of that fixed size, moves each anchor to the
+   class that raises the mutual information of adjacent classes most, until nothing moves.
 2. Exchange for all other words. Each word's counts of left and right neighbouring
    anchor classes are summed over the corpus, by word, and the word goes to the
    class under which these neighbours are likeliest; words that never stand next
@@ -25,7 +24,8 @@ types' probabilities sum to 1.
 
 Cases: null text is empty and still ends; without training rows every token is
 unknown; ids that are null hash as the empty text and are handed on; repeated
-rows count each time; extra columns are not read.
+rows count each time; extra columns are not read; a very long text is one slice of its
+own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from helixmill.llm import grams as G
 from helixmill.llm.common import Scratch, slices, utf8
 from helixmill.llm.near_dedup import _whole
 
-ANCHORS, CLASSES, HEAVY = 512, 32, 20_000
+ANCHORS, CLASSES = 512, 32
 #: Class 0 holds the end token, the last class words without anchors around them.
 REST, UNKNOWN = CLASSES - 1, CLASSES
 STATES = CLASSES + 1
@@ -62,35 +62,25 @@ def held_out(mod: int = 7) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == 2
 
 
-def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(h, return_inverse=True)
-    return keys, np.bincount(at, n, len(keys)).astype(np.int64)
 
 
 def find_anchors(train: DataFrame, k: int = ANCHORS) -> np.ndarray:
+    """The k most frequent words, by counts of all tokens, and the end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n, held = np.zeros(0, G.U), np.zeros(0, np.int64), []
-        total = size = 0
-
-        def settle():
-            nonlocal keys, n, held, size
-            h = np.concatenate([keys, *held])
-            keys, n = _summed(h, np.concatenate([n, np.ones(len(h) - len(keys), np.int64)]))
-            if size:  # words this rare so far cannot reach the share in what was read but by HEAVY of them
-                often = n * HEAVY * 4 >= total
-                keys, n = keys[often], n[often]
-            held, size = [], 0
+        held: list[np.ndarray] = []
+
+        def summed() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
         for b in slices(batches, "text"):
-            h, _ = tokens(b.column(0))
-            held.append(h)
-            total += len(h)
-            size += len(h)
-            if size >= FLUSH:
-                settle()
-        settle()
-        often = n * HEAVY >= total
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], ["h", "n"])
+            held.append(tokens(b.column(0))[0])
+            if sum(map(len, held)) >= FLUSH:
+                yield summed()
+        if held:
+            yield summed()
 
     top = train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(k)
     found = top.toPandas()["h"].to_numpy(np.int64).view(G.U)
@@ -168,10 +158,12 @@ def exchange(bigrams: np.ndarray, end: int, classes: int = CLASSES, sweeps: int
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id, text, train, and the chunk: the input split, dealt further if splits are large."""
+    """doc_id, text, train, and the chunk: the input split, or the partition of a table that does
+    not come from files, dealt further by id and text if splits are large."""
     split = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    parts = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, int(split) // CHUNK_BYTES)))
-    return docs.select("doc_id", "text", (~held_out()).alias("train"), F.xxhash64(F.input_file_name(), F.input_file_block_start(), parts).alias("chunk"))
+    parts = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, int(split) // CHUNK_BYTES)))
+    source = F.when(F.input_file_name() == "", F.spark_partition_id()).otherwise(-1)
+    return docs.select("doc_id", "text", (~held_out()).alias("train"), F.xxhash64(F.input_file_name(), F.input_file_block_start(), source, parts).alias("chunk"))
 
 
 def word_rows(docs: DataFrame, anchors: np.ndarray, of: np.ndarray) -> DataFrame:
