@@ -6,6 +6,10 @@ it from there on. A read has one next and one previous read at most.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +19,8 @@ from helixmill.params import ReadParams
 from helixmill.plans.storage import Store
 
 LINK = "s long, p long, off int"
-STEPS, FEW = 7, 8  # offsets in one job; bases of an overlap whose keys are dealt further
+STEPS, FEW = 4, 8  # offsets in one job; bases of an overlap whose keys are dealt further
+EDGES, ENDS = 1 << 22, 1 << 20  # edges matched, and open ends of one key, in one task; some 200 MB
 
 
 def distinct_reads(reads: DataFrame) -> DataFrame:
@@ -50,40 +55,41 @@ def overlap_candidates(suffixes: DataFrame, prefixes: DataFrame, p: ReadParams,
     return unsized(s).join(unsized(index), "key").where((F.col("s") != F.col("p")) & same).select("s", "p", "off")
 
 
-def _key(off: int, p: ReadParams) -> Column:
-    """What an open end (id, side, seq) has to agree in: side 0 is a suffix, side 1 a prefix."""
-    return F.when(F.col("side") == 0, F.substring("seq", off + 1, p.length)).otherwise(F.substring("seq", 1, p.length - off))
-
-
-def open_ends(suffixes: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(id, side, seq, other, off): ends without a link, side 0 of suffixes and 1 of prefixes."""
-    one = lambda reads, side: reads.select(F.col("read_id").alias("id"), F.lit(side).alias("side"), "seq", F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("off"))
+def open_ends(suffixes: DataFrame, prefixes: DataFrame, at: int) -> DataFrame:
+    """(id, side, seq, other, off, at): ends without a link, side 0 of suffixes and 1 of prefixes,
+    and the offset to try next."""
+    blank = [F.lit(None).cast("long").alias("other"), F.lit(None).cast("int").alias("off"), F.lit(at).alias("at")]
+    one = lambda reads, side: reads.select(F.col("read_id").alias("id"), F.lit(side).alias("side"), "seq", *blank)
     return one(suffixes, 0).union(one(prefixes, 1))
 
 
-def zip_ends(ends: DataFrame, off: int, p: ReadParams) -> DataFrame:
-    """``ends`` with ``other`` and ``off`` of those that one offset links: the i-th suffix of a key
-    with its i-th prefix.
+def zip_ends(ends: DataFrame, p: ReadParams) -> DataFrame:
+    """``ends`` with ``other`` and ``off`` of those that offset ``at`` links, and the next ``at``: the
+    i-th suffix of a key, the bases from ``at`` on, goes with the i-th prefix of as many bases. The
+    offset is a column, so that generated code is the same for all steps.
 
     Where a read would meet itself, the group's prefixes are shifted by one; ends of a read that
     still meets itself stay open. One shuffle, by key; linked ends pass through."""
-    is_open = F.col("other").isNull()
-    rows = ends.withColumn("key", F.when(is_open, _key(off, p)).otherwise(F.concat(F.lit("#"), F.col("id"), F.lit(":"), F.col("side"))))
+    is_open, given = F.col("other").isNull(), ["id", "side", "seq", "other", "off", "at"]
+    bases = F.when(F.col("side") == 0, F.substring("seq", F.col("at") + 1, F.lit(p.length))).otherwise(F.substring(F.col("seq"), F.lit(1), p.length - F.col("at")))
+    rows = ends.select(*given, F.when(is_open, bases).otherwise(F.concat(F.lit("#"), F.col("id"), F.lit(":"), F.col("side"))).alias("key"))
     group = Window.partitionBy("key")
     n_s, n_p = F.count_if(F.col("side") == 0).over(group), F.count_if(F.col("side") == 1).over(group)
-    rows = rows.withColumn("n_p", n_p).withColumn("rn", F.row_number().over(group.orderBy("side", "id")) - F.when(F.col("side") == 1, n_s).otherwise(0))
+    rank = F.row_number().over(group.orderBy("side", "id")) - F.when(F.col("side") == 1, n_s).otherwise(0)
+    rows = rows.select(*given, "key", n_p.alias("n_p"), rank.alias("rn"))
 
-    def partner(rank: str) -> Column:
-        near = group.orderBy(rank, "side")
-        after = F.when(F.lead(rank).over(near) == F.col(rank), F.lead("id").over(near))
-        before = F.when(F.lag(rank).over(near) == F.col(rank), F.lag("id").over(near))
+    def partner() -> Column:
+        near = group.orderBy("rn", "side")
+        after = F.when(F.lead("rn").over(near) == F.col("rn"), F.lead("id").over(near))
+        before = F.when(F.lag("rn").over(near) == F.col("rn"), F.lag("id").over(near))
         return F.when(F.col("side") == 0, after).otherwise(before)
 
-    rows = rows.withColumn("clash", F.coalesce(F.max(partner("rn") == F.col("id")).over(group), F.lit(False)))
-    rows = rows.withColumn("rn", F.when(F.col("clash") & (F.col("side") == 1), F.pmod(F.col("rn"), F.col("n_p")) + 1).otherwise(F.col("rn")))
-    found = partner("rn")
-    rows = rows.withColumn("found", F.when(is_open & (found != F.col("id")), found))
-    return rows.select("id", "side", "seq", F.coalesce("other", "found").alias("other"), F.when(F.col("found").isNotNull(), F.lit(off)).otherwise(F.col("off")).alias("off"))
+    clash = F.coalesce(F.max(partner() == F.col("id")).over(group), F.lit(False))
+    rank = F.when(clash & (F.col("side") == 1), F.pmod(F.col("rn"), F.col("n_p")) + 1).otherwise(F.col("rn"))
+    rows = rows.select(*given, "key", rank.alias("rn"))
+    rows = rows.select(*given, F.when(is_open, F.nullif(partner(), F.col("id"))).alias("found"))
+    off = F.when(F.col("found").isNotNull(), F.col("at")).otherwise(F.col("off"))
+    return rows.select("id", "side", "seq", F.coalesce("other", "found").alias("other"), off.alias("off"), (F.col("at") + 1).alias("at"))
 
 
 def rank_zip(suffixes: DataFrame, prefixes: DataFrame, off: int, p: ReadParams, width: int = 1_000_000) -> DataFrame:
@@ -120,8 +126,11 @@ def open_suffixes(reads: DataFrame, links: DataFrame) -> DataFrame:
 def greedy_matching(store: Store, edges: DataFrame) -> DataFrame:
     """The links that a greedy pass in the order (off, s, p) would take, each read once per end.
 
-    In rounds: edges that come first for both their ends are taken, edges at taken ends go."""
+    In rounds: edges that come first for both their ends are taken, edges at taken ends go. Up to
+    EDGES edges go through one task instead, in that very order."""
     edges, taken = store.save(edges.select("s", "p", "off")), []
+    if edges.count() <= EDGES:
+        return store.save(edges.coalesce(1).mapInArrow(_in_order, LINK))
     rank = F.struct("off", "s", "p")
     while not edges.isEmpty():
         best = edges.withColumn("bs", F.min(rank).over(Window.partitionBy("s"))).withColumn("bp", F.min(rank).over(Window.partitionBy("p")))
@@ -133,6 +142,21 @@ def greedy_matching(store: Store, edges: DataFrame) -> DataFrame:
     return store.save(union_all(taken)) if taken else edges
 
 
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return
+    s, p, off = (np.concatenate([b.column(i).to_numpy() for b in rows]) for i in range(3))
+    order = np.lexsort((p, s, off))
+    kept, left, right = [], set(), set()
+    for i, a, b in zip(order.tolist(), s[order].tolist(), p[order].tolist()):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            kept.append(i)
+    yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (s, p, off)], ["s", "p", "off"])
+
+
 def read_flags(reads: DataFrame, links: DataFrame) -> DataFrame:
     """(read_id, has_next, has_prev, off_next, off_prev)."""
     nxt = links.select(F.col("s").alias("read_id"), F.col("off").alias("off_next"))
@@ -168,20 +192,22 @@ def seeded_links(store: Store, reads: DataFrame, p: ReadParams, links: DataFrame
 def short_overlap_links(store: Store, reads: DataFrame, links: DataFrame, p: ReadParams, least: int = 1) -> DataFrame:
     """Links by overlaps of ever fewer bases, down to ``least``, between ends still open.
 
-    Offsets follow each other within one job, ``STEPS`` at a time; overlaps of less than ``FEW``
-    bases, whose keys are shared by most reads, take a job each."""
+    Offsets follow each other within one job, ``STEPS`` at a time. Overlaps of less than ``FEW``
+    bases, whose keys are shared by most reads, take a job each if more than ENDS ends are open;
+    the links are the same."""
     found, steps = [links], []
-    ends = store.save(open_ends(open_suffixes(reads, links), open_prefixes(reads, links)))
+    ends = store.save(open_ends(open_suffixes(reads, links), open_prefixes(reads, links), max(1, p.max_offset)))
+    few = FEW if ends.count() > ENDS else 1
     for off in range(max(1, p.max_offset), p.length - least + 1):
         if not steps and (ends.where("side = 0").isEmpty() or ends.where("side = 1").isEmpty()):
             break
-        if p.length - off >= FEW:
+        if p.length - off >= few:
             steps.append(off)
-            if len(steps) < STEPS and FEW <= p.length - off - 1 >= least:
+            if len(steps) < STEPS and few <= p.length - off - 1 >= least:
                 continue
             zipped = ends
-            for step in steps:
-                zipped = zip_ends(zipped, step, p)
+            for _ in steps:
+                zipped = zip_ends(zipped, p)
             zipped, steps = store.save(zipped), []
             found.append(zipped.where("side = 0 AND other IS NOT NULL").select(F.col("id").alias("s"), F.col("other").alias("p"), "off"))
             ends = zipped.where("other IS NULL")
@@ -189,7 +215,7 @@ def short_overlap_links(store: Store, reads: DataFrame, links: DataFrame, p: Rea
             one = lambda side: ends.where(F.col("side") == side).select(F.col("id").alias("read_id"), "seq")
             won = store.save(rank_zip(one(0), one(1), off, p))
             found.append(won)
-            ends = store.save(open_ends(open_suffixes(one(0), won), open_prefixes(one(1), won)))
+            ends = store.save(open_ends(open_suffixes(one(0), won), open_prefixes(one(1), won), off + 1))
     return store.save(union_all(found))
 
 

@@ -164,8 +164,7 @@ def overlap_rotation(spark, sf_dir):
     """Rank-zip where a group in which a read would meet itself is shifted by one: long, short and
     single-base overlaps."""
     r = _clean(spark, sf_dir)
-    ends = O.open_ends(r, r)
-    linked = lambda off: O.zip_ends(ends, off, P).where("side = 0 AND other IS NOT NULL").select(F.col("id").alias("s"), F.col("other").alias("p"), "off")
+    linked = lambda off: O.zip_ends(O.open_ends(r, r, off), P).where("side = 0 AND other IS NOT NULL").select(F.col("id").alias("s"), F.col("other").alias("p"), "off")
     return union_all([linked(70), linked(85), O.rank_zip(r, r, P.length - 1, P, WIDTH)])
 
 

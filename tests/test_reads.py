@@ -62,7 +62,16 @@ def test_scratch_folder_needs_sharing(monkeypatch):
         shared_folder(session("spark://x:1", None))
 
 
-def test_greedy_equals_sequential(spark):
+@pytest.fixture(params=["one task", "rounds"])
+def ways(request, monkeypatch):
+    """Both the bounded ways in one task and those for any size."""
+    if request.param == "rounds":
+        monkeypatch.setattr(O, "EDGES", 0)
+        monkeypatch.setattr(O, "ENDS", 0)
+        monkeypatch.setattr(A, "READS", 0)
+
+
+def test_greedy_equals_sequential(spark, ways):
     r = random.Random(2)
     edges = list({(r.randint(0, 30), r.randint(0, 30), r.randint(1, 9)) for _ in range(200)})
     edges = [e for e in edges if e[0] != e[1]]
@@ -88,7 +97,7 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", CASES)
-def test_assembly_places_every_read(spark, case):
+def test_assembly_places_every_read(spark, case, ways):
     seqs = CASES[case](random.Random(3))
     p, store = ReadParams(64), Store(spark, "t")
     reads = store.save(frame(spark, seqs))
@@ -124,6 +133,20 @@ def sequential_zip(seqs, off):
     return out
 
 
+def test_chains_and_cycles_both_ways(spark, monkeypatch):
+    r, store = random.Random(14), Store(spark, "t")
+    ids = r.sample(range(10**6), 60)
+    nxt = dict(zip(ids[:20], ids[1:21])) | dict(zip(ids[30:40], ids[31:40] + ids[30:31])) | {ids[45]: ids[45]} | dict(zip(ids[50:59], ids[51:60]))
+    links = store.save(spark.createDataFrame([(a, b, 1 + a % 9) for a, b in nxt.items()], "s long, p long, off int"))
+    reads = store.save(spark.createDataFrame([(i, "A") for i in ids], "read_id long, seq string"))
+    got = []
+    for limit in (1 << 21, 0):
+        monkeypatch.setattr(A, "READS", limit)
+        placed, cyclic = A.chain_heads(store, reads, links)
+        got.append((sorted(map(tuple, placed.collect())), sorted(map(tuple, cyclic.collect()))))
+    assert got[0] == got[1] and len(got[0][1]) == 11 and (ids[30], min(ids[30:40])) in got[0][1]
+
+
 @pytest.mark.parametrize("off", [1, 4, 7])
 def test_rank_zip_both_ways(spark, off):
     r, p = random.Random(off), ReadParams(8)
@@ -131,12 +154,12 @@ def test_rank_zip_both_ways(spark, off):
     df = frame(spark, seqs)
     want = sequential_zip(seqs, off)
     assert {tuple(x) for x in O.rank_zip(df, df, off, p, width=7).collect()} == want
-    ends = O.zip_ends(O.open_ends(df, df), off, p)
+    ends = O.zip_ends(O.open_ends(df, df, off), p)
     assert {(x.id, x.other, x.off) for x in ends.where("side = 0 AND other IS NOT NULL").collect()} == want
     assert {(x.other, x.id, x.off) for x in ends.where("side = 1 AND other IS NOT NULL").collect()} == want
 
 
-def test_short_overlaps_down_to_one_base(spark):
+def test_short_overlaps_down_to_one_base(spark, ways):
     r, p, store = random.Random(12), ReadParams(64), Store(spark, "t")
     seqs = [genome(r, 64) for _ in range(40)] + [(lambda g: g)(genome(r, 64))] * 2
     links = O.short_overlap_links(store, frame(spark, seqs), O.duplicate_links(frame(spark, seqs)), p).collect()
