@@ -68,6 +68,25 @@ def test_warc_is_deterministic(spark, tmp_path):
     assert sorted(one.select(cols).collect()) == sorted(two.select(cols).collect())
 
 
+def test_warc_shards_are_even_however_ids_are_spread(spark, tmp_path):
+    from helixmill.llm.warc import write_archive
+
+    r = random.Random(19)
+    ids = [*range(150), 10**6, 10**15, -(10**17), None]
+    rows = [(i, "u", "".join(r.choice("abcdef") for _ in range(r.randint(1000, 3000)))) for i in ids]
+    for n, parts in (("a", 2), ("b", 5)):
+        m = write_archive(pages(spark, rows).repartition(parts), f"file://{tmp_path}/{n}", shard_bytes=40_000).collect()
+        shards = {}
+        for x in m:
+            shards[x.shard] = shards.get(x.shard, 0) + x.records
+        total, want = 0, {}
+        for i, _, h in sorted(rows[:-1]):
+            want[total // 40_000] = want.get(total // 40_000, 0) + 1
+            total += len(h) + 600
+        want[0] += 1  # the null id
+        assert list(shards[k] for k in sorted(shards)) == [want[k] for k in sorted(want)]
+
+
 def test_warc_repeated_ids_and_empty(spark, tmp_path):
     from helixmill.llm.warc import read_archive, round_trip, write_archive
 

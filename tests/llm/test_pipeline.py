@@ -42,6 +42,31 @@ def test_stages(spark, folder):
     assert ids(last) == seen[4]
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_take_columns_of_any_name(spark, folder, stage):
+    import corpus_pipeline as C
+
+    hidden = ["__lang", "__score", "__words", "__hit", "__items", "__gone", "__set", "__again", "__fp", "__rn", "__GONE_0", "spans", "count"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, c in enumerate(hidden):
+        docs = docs.withColumn(c, (docs.doc_id + i).cast("string"))
+    out = C.STAGES[stage][1](spark, docs, folder)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    rows = out.where("doc_id = 500 OR doc_id = 1").collect()
+    assert rows and all(r[c] == str(r.doc_id + i) for r in rows for i, c in enumerate(hidden))
+
+
+def test_language_stage_drops_what_is_in_no_language(spark, tmp_path):
+    import random
+
+    import corpus_pipeline as C
+
+    r = random.Random(5)
+    rows = mixed(14, 60) + [(7000 + i, " ".join("".join(r.choice("qxzjvwk") for _ in range(9)) for _ in range(30)), None) for i in range(5)]
+    out = {x.doc_id for x in C.language_id(spark, documents(spark, rows), str(tmp_path)).collect()}
+    assert not out & {7000, 7001, 7002, 7003, 7004} and {i for i, _, lang in rows if i is not None and i < 60 and lang} <= out
+
+
 def test_run(spark, folder):
     import corpus_pipeline as C
 
