@@ -9,7 +9,7 @@ the ``KEEP`` smallest hash values of its set:
    than ``LONG`` documents list is hot (a passage that many share) and is passed over;
    the others are listed until there are ``LISTED`` more of them than hot ones were
    passed. Sets of similarity 0.8 then share no list with probability 1e-7 without hot
-   values, 8e-7 at most with them, and one list only with 6e-6. Which values are hot
+   values, 1e-6 at most with them, and one list only with 6e-6. Which values are hot
    is found in rounds, until none is added, and is the same for all documents.
 2. A document whose sketch ends before that and is hot by ``DENSE`` or more lists its
    ``LISTED`` smallest hot values too: two such sets may share nothing else.
