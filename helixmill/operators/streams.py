@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from helixmill.functions.sequence import mismatches, reverse_complement
+from helixmill.functions.arrays import COMPLEMENT, from_rows, rows_of
 from helixmill.operators.ordering import previous, running_sum
 
 BASES = ("A", "C", "G", "T")
@@ -23,8 +24,21 @@ STRETCH = 1 << 16  # positions, or rows, that one task orders
 def extract_mismatches(aligned: DataFrame, length: int) -> DataFrame:
     """``aligned`` (read_id, strand, window, seq, ...) with ``ms``: where and how the read differs
     from its window, in the window's orientation."""
-    oriented = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
-    return aligned.withColumn("ms", mismatches(F.col("window"), oriented, length))
+    kind = T.ArrayType(T.StructType([T.StructField("off", T.IntegerType()), T.StructField("ref_base", T.StringType()), T.StructField("read_base", T.StringType())]))
+    schema = T.StructType([*aligned.schema.fields, T.StructField("ms", kind)])
+    at, arrow = [aligned.columns.index(c) for c in ("window", "seq", "strand")], to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            window, read = (rows_of(b.column(i), length) for i in at[:2])
+            turned = b.column(at[2]).to_numpy() == 1
+            read = np.where(turned[:, None], COMPLEMENT[read[:, ::-1]], read)
+            row, off = np.nonzero(window != read)
+            ms = pa.StructArray.from_arrays([pa.array(off.astype(np.int32)), from_rows(window[row, off][:, None]), from_rows(read[row, off][:, None])], ["off", "ref_base", "read_base"])
+            ends = np.searchsorted(row, np.arange(len(window) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, ms).cast(arrow.field("ms").type)], schema=arrow)
+
+    return aligned.mapInArrow(run, schema)
 
 
 def mismatch_rows(extracted: DataFrame) -> DataFrame:
