@@ -7,7 +7,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from helixmill.operators import selfmatch as X
 from helixmill.operators import streams as T
+from helixmill.params import ReadParams
 from helixmill.sources import derived
 
 RC = str.maketrans("ACGTN", "TGCAN")
@@ -53,3 +55,37 @@ def test_mismatches_without_a_struct_for_every_base(spark, strand):
     assert "filter(transform(" not in x._jdf.queryExecution().optimizedPlan().toString()
     assert {y.read_id: [tuple(m) for m in y.ms] for y in x.collect()} == want
     assert sorted((y.read_id, y.ord, y.off, y.ref_base, y.read_base) for y in T.mismatch_rows(x).collect()) == [(i, k, *m) for i, ms in want.items() for k, m in enumerate(ms)]
+
+
+def seeds_by_hand(text, p):
+    d, k, places, out = rc(text), p.match_k, {}, set()
+    for i in range(0, len(text) - k + 1, p.match_src_step):
+        if "N" not in text[i : i + k]:
+            places.setdefault(text[i : i + k], []).append(i)
+    for j in range(0, len(d) - k + 1, p.match_dest_step):
+        out |= {(j, i) for i in places.get(d[j : j + k], [])[: p.bucket]}
+    return out
+
+
+def test_matches_within_a_string_need_no_shuffle(spark):
+    r, p = random.Random(23), ReadParams(100)
+    a = genome(r, 500)
+    texts = ["", "A" * 35, a + "N" * 3 + rc(a), rc(a[:90]) + genome(r, 33) + a, "ACGT" * 90, a[:70] + "N" + a[71:200] + "GG" + rc(a[:200]), genome(r, 20) + (a[:60] + "T") * 15 + rc(a[:60])]
+    refs = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "ref_id long, dna string").coalesce(1)
+    seeds, found = X.seed_pairs(refs, p), X.maximal_matches(refs, p)
+    for df in (seeds, found):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, seeds.select("dest_id", "at_dest", "src_id", "at_src").collect()))
+    assert got == sorted((n, j, n, i) for n, t in enumerate(texts) for j, i in seeds_by_hand(t, p)) and len(got) > 100
+    want = set()
+    for n, t in enumerate(texts):
+        d = rc(t)
+        for j, i in seeds_by_hand(t, p):
+            lo, hi = 0, p.match_k
+            while i - lo > 0 and j - lo > 0 and t[i - lo - 1] == d[j - lo - 1]:
+                lo += 1
+            while i + hi < len(t) and j + hi < len(t) and t[i + hi] == d[j + hi]:
+                hi += 1
+            if lo + hi >= p.match_min:
+                want.add((n, n, j - lo, i - lo, lo + hi))
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want)
