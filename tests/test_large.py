@@ -7,10 +7,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from helixmill.operators import assemble as A
 from helixmill.operators import overlap as O
 from helixmill.operators import selfmatch as X
 from helixmill.operators import streams as T
 from helixmill.params import ReadParams
+from helixmill.plans import queries as Q
+from helixmill.plans.storage import Store
 from helixmill.sources import derived
 
 RC = str.maketrans("ACGTN", "TGCAN")
@@ -111,3 +114,17 @@ def test_linked_ends_equal_links_and_shuffle_hashes_only(spark, monkeypatch, com
     assert flags.where("NOT is_reference").count() and kept.count()
     if common > 2:
         assert ends.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_placement_of_copies_stores_and_shuffles_no_bases(spark, tmp_path, monkeypatch):
+    r, p = random.Random(25), ReadParams(100)
+    letters = dict(zip("ACGT", "abcd"))
+    texts = ["".join(letters[c] for c in genome(r, n)) for n in (600, 90, 350, 1000)]
+    d = documents(spark, tmp_path, dict(zip([5, 2, 9, 7, 4, 11], [*texts, texts[0], texts[3][:425]])))
+    reads, store = Q._clean(spark, d), Store(spark, "test")
+    copies = store.save(O.duplicate_links(reads, Q.WIDTH))
+    want = A.placement(A.contigs(reads, copies, A.chain_heads(store, reads, copies)[0], p), p).collect()
+    monkeypatch.setattr(Store, "save", lambda *_: pytest.fail("a table is stored"))
+    got = Q.contig_placement(spark, d)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 50
+    assert "Exchange hashpartitioning(seq" not in got._jdf.queryExecution().executedPlan().toString()
