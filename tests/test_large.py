@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixmill.operators import assemble as A
+from helixmill.operators import blocks
 from helixmill.operators import overlap as O
+from helixmill.operators import rankzip as Z
 from helixmill.operators import selfmatch as X
 from helixmill.operators import streams as T
 from helixmill.params import ReadParams
@@ -128,3 +130,25 @@ def test_placement_of_copies_stores_and_shuffles_no_bases(spark, tmp_path, monke
     got = Q.contig_placement(spark, d)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and len(want) > 50
     assert "Exchange hashpartitioning(seq" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size, common, rows", [(90, 10_000, 1 << 19), (400, 10_000, 64), (200, 9, 64), (0, 9, 64)])
+def test_rank_zip_by_blocks_of_hashes(spark, monkeypatch, size, common, rows):
+    monkeypatch.setattr(blocks, "PART_ROWS", rows)
+    monkeypatch.setattr(Z, "SAMPLE", 5)
+    r, p = random.Random(26), ReadParams(16)
+    seqs = ["".join(r.choice("AC") for _ in range(16)) for _ in range(size)] + ["ACGT" * 4] * (size // 9) + ["A" * 16] * (size // 20)
+    ids = r.sample(range(-(10**11), 10**12), len(seqs))
+    ids[: len(seqs) // 2] = range(len(seqs) // 2)
+    df = spark.createDataFrame(list(zip(ids, seqs)), "read_id long, seq string")
+    want = set()
+    for off in (8, 12, 15):
+        keys = {s[off:] for s in seqs} & {s[: 16 - off] for s in seqs}
+        for k in keys:
+            left, right = (sorted(i for i, s in zip(ids, seqs) if cut(s) == k) for cut in (lambda s: s[off:], lambda s: s[: 16 - off]))
+            if any(a == b for a, b in zip(left, right)):
+                right = right[-1:] + right[:-1]
+            want |= {(a, b, off) for a, b in zip(left, right) if a != b}
+    got = Z.zip_all(Store(spark, "test"), df, [8, 12, 15], p, 7, common)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString() or common == 9
