@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,34 @@ STRETCH = 1 << 16  # positions, or rows, that one task orders
 # mismatches -----------------------------------------------------------------
 
 
+def _differing(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(read_id, row, off, base of the window, base of the read) of the differing places of each
+    batch (read_id, strand, window, seq, ...), in the window's orientation, by row and place."""
+    for b in batches:
+        window, read = (rows_of(b.column(b.schema.get_field_index(c)), length) for c in ("window", "seq"))
+        turned = b.column(b.schema.get_field_index("strand")).to_numpy() == 1
+        read = np.where(turned[:, None], COMPLEMENT[read[:, ::-1]], read)
+        row, off = np.nonzero(window != read)
+        yield b.column(b.schema.get_field_index("read_id")), row, off, window[row, off], read[row, off]
+
+
+def _starts(row: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` rows begins in the ascending ``row``, and the end."""
+    return np.searchsorted(row, np.arange(n + 1))
+
+
+def mismatch_batches(length: int) -> tuple[Callable, str]:
+    """mismatch_rows of batches of alignments, and the schema."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, off, ref, read in _differing(batches, length):
+            at = np.arange(len(row)) - _starts(row, len(ids))[row]
+            columns = [ids.take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(off.astype(np.int32)), from_rows(ref[:, None]), from_rows(read[:, None])]
+            yield pa.RecordBatch.from_arrays(columns, ["read_id", "ord", "off", "ref_base", "read_base"])
+
+    return run, "read_id long, ord int, off int, ref_base string, read_base string"
+
+
 def extract_mismatches(aligned: DataFrame, length: int) -> DataFrame:
     """``aligned`` (read_id, strand, window, seq, ...) with ``ms``: where and how the read differs
     from its window, in the window's orientation."""

@@ -152,3 +152,23 @@ def test_rank_zip_by_blocks_of_hashes(spark, monkeypatch, size, common, rows):
     got = Z.zip_all(Store(spark, "test"), df, [8, 12, 15], p, 7, common)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString() or common == 9
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _documents_in(spark, path):
+    r = random.Random(9)
+    rows = [(k, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.choice([0, 90, 130, 700])))) for k in range(60)] + [(60, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_mismatch_rows_are_made_where_the_reads_are(spark, tmp_path):
+    d = _documents_in(spark, tmp_path)
+    got = Q.mm_extract(spark, d)
+    assert _plan(got).count("MapInArrow") == 1 and "Generate" not in _plan(got)
+    want = T.mismatch_rows(Q._extracted(spark, d))
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert got.count() > 500
