@@ -49,6 +49,21 @@ def mismatch_batches(length: int) -> tuple[Callable, str]:
     return run, "read_id long, ord int, off int, ref_base string, read_base string"
 
 
+def code_batches(length: int) -> tuple[Callable, str]:
+    """(read_id, mm, code) of batches of alignments: the offset_code of the reads with mismatches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, row, off, *_ in _differing(batches, length):
+            at = _starts(row, len(ids))
+            some = np.flatnonzero(np.diff(at))
+            code, ends = offset_codes(off, np.append(at[some], len(off)), length)
+            code = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code.astype(np.int32)))
+            columns = [ids.take(pa.array(some)), pa.array(np.diff(at)[some].astype(np.int32)), code]
+            yield pa.RecordBatch.from_arrays(columns, ["read_id", "mm", "code"])
+
+    return run, "read_id long, mm int, code array<int>"
+
+
 def extract_mismatches(aligned: DataFrame, length: int) -> DataFrame:
     """``aligned`` (read_id, strand, window, seq, ...) with ``ms``: where and how the read differs
     from its window, in the window's orientation."""
@@ -111,6 +126,29 @@ def offset_code(offs: Column, length: int) -> Column:
     return F.when(n > 0, F.concat(head, tail)).otherwise(F.array().cast("array<int>"))
 
 
+def offset_codes(off: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """offset_code of many reads: those of read i, at least one, are off[at[i]:at[i + 1]]. The codes
+    end to end, and where each begins."""
+    n, start, stop = np.diff(at), at[:-1], at[1:]
+    first, last = off[start], length - 1 - off[stop - 1]
+    right = first >= last
+    ends = np.concatenate([[0], np.cumsum(np.where(n < 3, n + 1, n + 2))])
+    out = np.zeros(ends[-1], np.int64)
+    out[ends[:-1]], out[ends[:-1] + 1] = right, np.where(right, last, first)
+    # the gap after each offset but the last of a read
+    read = np.repeat(np.arange(len(n)), n - 1)
+    j = np.arange(len(read)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)
+    gap = off[start[read] + j + 1] - off[start[read] + j]
+    least = np.full(len(n), length)
+    np.minimum.at(least, read, gap)
+    more = n > 1
+    out[ends[:-1][more] + 2] = least[more] - 1
+    walked = np.where(right[read], n[read] - 2 - j, j)
+    many = n[read] > 2
+    out[(ends[:-1][read] + 3 + walked)[many]] = (gap - least[read])[many]
+    return out, ends
+
+
 def offset_decode(code: Column, n: Column, length: int) -> Column:
     """The inverse: ascending offsets of ``n`` mismatches."""
     gaps = F.when(n == 1, F.array().cast("array<int>")).when(n == 2, F.array(code[2] + 1)).otherwise(F.transform(F.slice(code, 4, F.greatest(n - 1, F.lit(0))), lambda g: g + code[2] + 1))

@@ -4,6 +4,7 @@ follows the rows."""
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,22 @@ def test_mismatch_rows_are_made_where_the_reads_are(spark, tmp_path):
     want = T.mismatch_rows(Q._extracted(spark, d))
     assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
     assert got.count() > 500
+
+
+def test_offset_codes_are_made_where_the_reads_are(spark, tmp_path):
+    d = _documents_in(spark, tmp_path)
+    got = Q.mm_offset_code(spark, d)
+    assert _plan(got).count("MapInArrow") == 1
+    offs = Q._offs(spark, d).where(F.size("offs") > 0)
+    want = offs.select("read_id", F.size("offs").alias("mm"), F.array_join(T.offset_code(F.col("offs"), 100).cast("array<string>"), ",").alias("code"))
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_offset_codes_of_any_offsets(spark):
+    r = random.Random(4)
+    rows = [sorted(r.sample(range(100), r.choice([1, 2, 3, 5, 40, 100]))) for _ in range(300)]
+    want = [x[0] for x in spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k long, offs array<int>").orderBy("k").select(T.offset_code(F.col("offs"), 100)).collect()]
+    code, ends = T.offset_codes(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])]), 100)
+    assert [code[i:j].tolist() for i, j in zip(ends[:-1], ends[1:])] == want
+    code, ends = T.offset_codes(np.zeros(0, np.int64), np.zeros(1, np.int64), 100)
+    assert not len(code) and ends.tolist() == [0]
