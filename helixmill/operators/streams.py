@@ -49,6 +49,20 @@ def mismatch_batches(length: int) -> tuple[Callable, str]:
     return run, "read_id long, ord int, off int, ref_base string, read_base string"
 
 
+def count_batches(length: int) -> tuple[Callable, str]:
+    """Counts of (ref_base, read_base) in batches of alignments, a row for each that occurs in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << 16, np.int64)
+        for _, _, _, ref, read in _differing(batches, length):
+            n += np.bincount(ref.astype(np.int64) << 8 | read, minlength=1 << 16)
+        found = np.flatnonzero(n)
+        bases = [from_rows((x & 255).astype(np.uint8)[:, None]) for x in (found >> 8, found)]
+        yield pa.RecordBatch.from_arrays([*bases, pa.array(n[found])], ["ref_base", "read_base", "n"])
+
+    return run, "ref_base string, read_base string, n long"
+
+
 def code_batches(length: int) -> tuple[Callable, str]:
     """(read_id, mm, code) of batches of alignments: the offset_code of the reads with mismatches."""
 
@@ -96,9 +110,14 @@ def context_counts(rows: DataFrame) -> DataFrame:
 def rank_table(rows: DataFrame) -> DataFrame:
     """(ref_base, read_base, rank): rank by frequency of the other letters for each base, ties in
     alphabetical order; 4 x 4 rows always."""
-    spark = rows.sparkSession
+    return ranked(context_counts(rows))
+
+
+def ranked(counts: DataFrame) -> DataFrame:
+    """rank_table of the context_counts."""
+    spark = counts.sparkSession
     every = spark.createDataFrame([(a, b) for a in BASES for b in (*BASES, "N") if a != b], "ref_base string, read_base string")
-    counts = every.join(F.broadcast(context_counts(rows)), ["ref_base", "read_base"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = every.join(F.broadcast(counts), ["ref_base", "read_base"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return counts.select("ref_base", "read_base", (F.row_number().over(Window.partitionBy("ref_base").orderBy(F.desc("n"), "read_base")) - 1).alias("rank"))
 
 

@@ -175,6 +175,16 @@ def test_mismatch_rows_are_made_where_the_reads_are(spark, tmp_path):
     assert got.count() > 500
 
 
+def test_mismatches_are_counted_where_the_reads_are(spark, tmp_path):
+    d = _documents_in(spark, tmp_path)
+    got = Q.mm_rank_table(spark, d)
+    assert _plan(got).count("MapInArrow") == 1 and "Generate" not in _plan(got)
+    assert sorted(got.collect()) == sorted(T.rank_table(T.mismatch_rows(Q._extracted(spark, d))).collect())
+    none = str(tmp_path / "none")
+    spark.createDataFrame([(1, None), (2, "abc")], "doc_id long, text string").write.parquet(f"{none}/documents.parquet")
+    assert Q.mm_rank_table(spark, none).count() == 16
+
+
 def test_offset_codes_are_made_where_the_reads_are(spark, tmp_path):
     d = _documents_in(spark, tmp_path)
     got = Q.mm_offset_code(spark, d)
