@@ -202,3 +202,34 @@ def test_offset_codes_of_any_offsets(spark):
     assert [code[i:j].tolist() for i, j in zip(ends[:-1], ends[1:])] == want
     code, ends = T.offset_codes(np.zeros(0, np.int64), np.zeros(1, np.int64), 100)
     assert not len(code) and ends.tolist() == [0]
+
+
+def _repeats(r):
+    """Strings with inverted repeats, next to each other, overlapping themselves, with N, and short ones."""
+    out = ["", "ACGT", "AT" * 90, "N" * 120, genome(r, 35), "ACGTTGCA" * 40]
+    for _ in range(30):
+        a = genome(r, r.choice([60, 200, 400]))
+        i = r.randrange(len(a) - 55)
+        cut = rc(a[i : i + r.choice([50, 80, 300])])
+        out.append(a + r.choice(["", "N", genome(r, 30)]) + cut + genome(r, r.choice([0, 40])) + cut[:60])
+    return out
+
+
+def test_kmers_that_meet_nothing_are_not_sorted():
+    r, p = random.Random(12), ReadParams(100)
+    texts = _repeats(r)
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    s = X._Strings(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    got = [set() for _ in texts]
+    for row, at, src in zip(*s.seeds(p)):
+        got[row].add((at, src))
+    assert got == [seeds_by_hand(t, p) for t in texts]
+    src, dest = s._kmers(s.a, p.match_k, p.match_src_step), s._kmers(s.b, p.match_k, p.match_dest_step)
+    met_s, met_d = X._meeting(src[0], src[2:], dest[0], dest[2:])
+    equal = {tuple(x) for x in zip(src[0], *src[2:])} & {tuple(x) for x in zip(dest[0], *dest[2:])}
+    assert {i for i, x in enumerate(zip(src[0], *src[2:])) if tuple(x) in equal} <= set(met_s.tolist())
+    assert {i for i, x in enumerate(zip(dest[0], *dest[2:])) if tuple(x) in equal} <= set(met_d.tolist())
+    one = genome(r, 3000)
+    alone = X._Strings(np.frombuffer(one.encode(), np.uint8), np.array([0, 3000]))
+    src, dest = alone._kmers(alone.a, 36, 5), alone._kmers(alone.b, 36, 3)
+    assert len(X._meeting(src[0], src[2:], dest[0], dest[2:])[1]) < len(dest[0]) / 4
