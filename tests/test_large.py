@@ -233,3 +233,13 @@ def test_kmers_that_meet_nothing_are_not_sorted():
     alone = X._Strings(np.frombuffer(one.encode(), np.uint8), np.array([0, 3000]))
     src, dest = alone._kmers(alone.a, 36, 5), alone._kmers(alone.b, 36, 3)
     assert len(X._meeting(src[0], src[2:], dest[0], dest[2:])[1]) < len(dest[0]) / 4
+
+
+def test_canonical_matches_without_a_join(spark):
+    p = ReadParams(100)
+    refs = spark.createDataFrame(list(enumerate(_repeats(random.Random(13)))) + [(99, None)], "ref_id long, dna string").repartition(3)
+    got = X.own_canonical(refs, p)
+    assert "Exchange" not in _plan(got).replace("RoundRobinPartitioning", "").split("MapInArrow")[0]
+    want = X.canonical_matches(X.maximal_matches(refs, p), refs.select("ref_id", F.length("dna").alias("size")), p)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert got.count() > 30
