@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixmill.functions.arrays import cuts
 from helixmill.operators import assemble as A
 from helixmill.operators import blocks
 from helixmill.operators import overlap as O
@@ -243,3 +244,29 @@ def test_canonical_matches_without_a_join(spark):
     want = X.canonical_matches(X.maximal_matches(refs, p), refs.select("ref_id", F.length("dna").alias("size")), p)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
     assert got.count() > 30
+
+
+def test_cover_and_holes_without_a_shuffle(spark, monkeypatch):
+    r, p = random.Random(14), ReadParams(100)
+    unit = genome(r, 70)
+    texts = [*_repeats(r), (unit + rc(unit)) * 20, unit * 9 + rc(unit) * 9]
+    refs = spark.createDataFrame([*enumerate(texts), (None, unit + rc(unit))], "ref_id long, dna string").coalesce(2).localCheckpoint()
+    want = X.interval_cover(X.own_canonical(refs, p), p)
+    holed = X.punch_holes(refs, want)
+    monkeypatch.setattr(X, "cuts", lambda at, most=300: cuts(at, most))
+    got, holes = X.own_cover(refs, p), X.own_holes(refs, p)
+    back = X.own_filled(holes)
+    for df in (got, holes, back):
+        assert "Exchange" not in _plan(df) and "Window" not in _plan(df)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() > 60
+    rows = lambda df: sorted(map(repr, df.select("ref_id", "holed", "map").collect()))
+    assert holes.dtypes == holed.dtypes and rows(holes) == rows(holed)
+    key = lambda x: (x[0] is None, x)
+    assert sorted(map(tuple, back.collect()), key=key) == sorted(map(tuple, refs.collect()), key=key)
+
+
+def test_cover_and_hole_queries_move_no_strings(spark, tmp_path):
+    d = _documents_in(spark, tmp_path)
+    for name in ("hole_text",):
+        got = getattr(Q, name)(spark, d)
+        assert "Exchange" not in _plan(got), name
