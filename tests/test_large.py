@@ -267,6 +267,6 @@ def test_cover_and_holes_without_a_shuffle(spark, monkeypatch):
 
 def test_cover_and_hole_queries_move_no_strings(spark, tmp_path):
     d = _documents_in(spark, tmp_path)
-    for name in ("hole_text",):
+    for name in ("interval_cover", "hole_text"):
         got = getattr(Q, name)(spark, d)
         assert "Exchange" not in _plan(got), name
