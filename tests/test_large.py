@@ -267,6 +267,19 @@ def test_cover_and_holes_without_a_shuffle(spark, monkeypatch):
 
 def test_cover_and_hole_queries_move_no_strings(spark, tmp_path):
     d = _documents_in(spark, tmp_path)
-    for name in ("interval_cover", "hole_text"):
+    for name in ("interval_cover", "hole_text", "ref_recover"):
         got = getattr(Q, name)(spark, d)
         assert "Exchange" not in _plan(got), name
+    assert sorted(map(tuple, Q.ref_recover(spark, d).collect())) == sorted(map(tuple, Q._palindromic(spark, d).collect()))
+
+
+def test_many_holes_are_filled_in_linear_time(spark):
+    r = random.Random(15)
+    a = genome(r, 400_000)
+    holes = [(400_000 + k * 60, k * 11, 50) for k in range(20_000)]
+    row = [(7, a + "%ACGTACGTAC" * 20_000, holes), (8, "", []), (None, "AC", [])]
+    df = spark.createDataFrame(row, "ref_id long, holed string, map array<struct<pos_dest:int,pos_src:int,len:int>>").coalesce(1).localCheckpoint()
+    start = time.time()
+    got = {x.ref_id: x.dna for x in X.own_filled(df).collect()}
+    assert time.time() - start < 12
+    assert got == {7: a + "".join(rc(a[s : s + n]) + "ACGTACGTAC" for _, s, n in holes), 8: "", None: "AC"}
