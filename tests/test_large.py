@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from helixmill.functions.arrays import cuts
 from helixmill.operators import assemble as A
 from helixmill.operators import blocks
+from helixmill.operators import candidates as K
 from helixmill.operators import overlap as O
 from helixmill.operators import rankzip as Z
 from helixmill.operators import selfmatch as X
@@ -283,3 +284,26 @@ def test_many_holes_are_filled_in_linear_time(spark):
     got = {x.ref_id: x.dna for x in X.own_filled(df).collect()}
     assert time.time() - start < 12
     assert got == {7: a + "".join(rc(a[s : s + n]) + "ACGTACGTAC" for _, s, n in holes), 8: "", None: "AC"}
+
+
+@pytest.mark.parametrize("length, rows", [(100, 1 << 19), (100, 64), (37, 64), (1, 64)])
+def test_seeded_overlaps_by_blocks_of_hashes(spark, monkeypatch, length, rows):
+    monkeypatch.setattr(blocks, "PART_ROWS", rows)
+    monkeypatch.setattr(K, "CHUNK", 50)
+    monkeypatch.setattr(K, "PAIRS", 7)
+    r, p = random.Random(27), ReadParams(length)
+    g, line = genome(r, 900), genome(r, 140)
+    texts = [g, g[:400] + "T" + g[400:], *(genome(r, 90) + line + genome(r, 90) for _ in range(12)), "A" * 200, "ACGTA" * 50]
+    seqs = [t[i : i + length] for t in texts for i in range(0, len(t) - length + 1, 7)]
+    seqs += seqs[::5]
+    ids = r.sample(range(-(10**11), 10**12), len(seqs))
+    ids[: len(seqs) // 2] = range(len(seqs) // 2)
+    df = spark.createDataFrame(list(zip(ids, seqs)), "read_id long, seq string")
+    got = K.all_candidates(Store(spark, "test"), df, p)
+    distinct = O.distinct_reads(df)
+    want = O.overlap_candidates(distinct, distinct, p)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Join" not in _plan(got) and "Generate" not in _plan(got)
+    assert length < 100 or got.count() > 500
+    none = df.where("read_id IS NULL")
+    assert K.all_candidates(Store(spark, "test"), none, p).count() == 0
