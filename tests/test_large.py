@@ -12,6 +12,7 @@ from helixmill.functions.arrays import cuts
 from helixmill.operators import assemble as A
 from helixmill.operators import blocks
 from helixmill.operators import candidates as K
+from helixmill.operators import chains as C
 from helixmill.operators import overlap as O
 from helixmill.operators import rankzip as Z
 from helixmill.operators import selfmatch as X
@@ -307,3 +308,55 @@ def test_seeded_overlaps_by_blocks_of_hashes(spark, monkeypatch, length, rows):
     assert length < 100 or got.count() > 500
     none = df.where("read_id IS NULL")
     assert K.all_candidates(Store(spark, "test"), none, p).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 0])
+@pytest.mark.parametrize("parts", [1, 5])
+def test_chains_are_contracted_where_reads_lie_together(spark, monkeypatch, parts, limit):
+    monkeypatch.setattr(A, "READS", limit)
+    r, store, width = random.Random(41), Store(spark, "test"), 50
+    ids, nxt, off, home = r.sample(range(2000), 600), {}, {}, {}
+    order = sorted(ids[:300]) + ids[300:]
+    at = 0
+    while at < len(order) - 1:  # chains and rings, along ids and across them; some links lead to copies
+        n = min(r.choice([1, 2, 3, 9, 40]), len(order) - at)
+        run, at = order[at : at + n], at + n
+        for a, b in zip(run, run[1:] + (run[:1] if n > 1 and r.random() < 0.5 else [])):
+            nxt[a], off[a] = b, 25
+    heads = sorted(set(ids) - set(nxt.values()))
+    parted = lambda: spark.createDataFrame([(i,) for i in ids], "read_id long").select("read_id", C.home_of(F.col("read_id"), width, parts).alias("h"))
+    home = {x.read_id: x.h for x in parted().collect()}
+    for a in [a for a in nxt if nxt[a] in heads or r.random() < 0.3]:
+        if home[a] == home[nxt[a]]:
+            off[a] = 0
+    nodes = store.save(spark.createDataFrame([(i, nxt.get(i), off.get(i), home[i]) for i in ids], "read_id long, next long, off int, home int"))
+    links = store.save(nodes.where("next IS NOT NULL").select(F.col("read_id").alias("s"), F.col("next").alias("p"), "off"))
+    rows = lambda df, *columns: sorted(tuple(x) for x in df.select(*columns).collect())
+    placed, cyclic = C.heads(store, nodes, parts, width)
+    want = A.chain_heads(store, nodes, links)
+    assert rows(placed, "read_id", "head", "dist") == rows(want[0], "read_id", "head", "dist")
+    assert rows(cyclic, "read_id", "label") == rows(want[1], "read_id", "label") and cyclic.count() > 50
+    assert {x.read_id: (x.next, x.off) for x in cyclic.collect()} == {x.read_id: (nxt[x.read_id], off[x.read_id]) for x in cyclic.collect()}
+    _, all_placed, gone = A.cut_cycles(store, nodes, links)
+    placed, _, cut, left = C.cut(store, nodes, parts, width)
+    assert rows(placed, "read_id", "head", "dist") == rows(all_placed, "read_id", "head", "dist")
+    assert rows(cut, "s", "p", "off") == rows(gone, "s", "p", "off") and left.isEmpty()
+
+
+def test_cycle_cut_doubles_only_links_that_leave_a_part(spark, tmp_path, monkeypatch):
+    r, letters = random.Random(42), dict(zip("ACGT", "abcd"))
+    texts = ["".join(letters[c] for c in genome(r, n)) for n in (2000, 90, 1500, 3000)]
+    ring = "".join(letters[c] for c in genome(r, 100))
+    d = documents(spark, tmp_path, dict(enumerate([*texts, texts[0], texts[3][:425], ring * 3])))
+    seen, doubled = [], A.doubled_heads
+
+    def counted(store, first):
+        seen.append(first.count())
+        return doubled(store, first)
+
+    for module in (A, C):
+        monkeypatch.setattr(module, "doubled_heads", counted)
+    got = Q.cycle_cut(spark, d).collect()
+    n = Q._clean(spark, d).count()
+    assert [(x.cycles, x.on_cycles, x.unplaced) for x in got] == [(1, 0, 0)] and n > 250
+    assert sum(seen) <= got[0].reads + n // 10
