@@ -360,3 +360,21 @@ def test_cycle_cut_doubles_only_links_that_leave_a_part(spark, tmp_path, monkeyp
     n = Q._clean(spark, d).count()
     assert [(x.cycles, x.on_cycles, x.unplaced) for x in got] == [(1, 0, 0)] and n > 250
     assert sum(seen) <= got[0].reads + n // 10
+
+
+def test_cross_matches_deal_only_kmers_that_meet(spark):
+    r, p = random.Random(43), ReadParams(100)
+    part, far = genome(r, 400), genome(r, 900)
+    src = [genome(r, 300) + part[: 60 + 20 * i] + genome(r, 50) for i in range(16)] + [part[:150] + "N" + part[151:], far[:100] + "NN" + far[102:145] + "N" + far[146:], "", "ACGT" * 30]
+    dest = [rc(genome(r, 40) + part + "N" + genome(r, 80)), rc(part[:150] + "N" + part[151:] + part[:90]), rc(far[:100] + "NN" + far[102:145] + "N" + far[146:]), genome(r, 500), "ACGT" * 20]
+    frame = lambda texts, key: spark.createDataFrame([(key(i), t) for i, t in enumerate(texts)], ["ref_id", "dna"])
+    both = []
+    for key in (int, lambda i: f"{i:04d}"):  # by blocks, and by a join
+        a, b = frame(src, key), frame(dest, key)
+        seeds, found = X.seed_pairs(a, p, b), X.maximal_matches(a, p, b)
+        both.append([sorted((int(x.dest_id), x[1], int(x[2]), x[3]) for x in seeds.collect())] + [sorted((int(x.dest_id), int(x.src_id), x.pos_dest, x.pos_src, x.len) for x in found.collect())])
+        plan = seeds._jdf.queryExecution().executedPlan().toString()
+        assert ("Window" in plan, "SortMergeJoin" in plan) == ((False, False) if key is int else (True, True))
+    assert both[0] == both[1] and len(both[0][0]) > 300
+    rows = both[0][1]
+    assert {x[4] for x in rows if x[:2] == (2, 17)} == {900} and any(x[:2] == (1, 16) and x[4] == 400 for x in rows)
